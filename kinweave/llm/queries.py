@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from kinweave.llm import cuckoo, simhash
+from kinweave.llm import cuckoo, packing, simhash, tokenfile
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_exact_dedup": cuckoo.op2_exact_dedup,
+    "op4_token_files": tokenfile.op4_token_files,
+    "op6_packing": packing.op6_packing,
 }
 
 ORACLE_SQL = {
