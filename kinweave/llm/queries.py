@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from kinweave.llm import cuckoo, packing, simhash, tokenfile
+from kinweave.llm import cuckoo, packing, pieces, simhash, tokenfile
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_exact_dedup": cuckoo.op2_exact_dedup,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_token_files": tokenfile.op4_token_files,
+    "op5_token_counts": pieces.op5_token_counts,
     "op6_packing": packing.op6_packing,
 }
 
