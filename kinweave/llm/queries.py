@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinweave.llm import cuckoo, packing, pieces, rules, simhash, tokenfile
+from kinweave.llm import cuckoo, packing, pieces, pii, rules, simhash, tokenfile
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_token_counts": pieces.op5_token_counts,
     "op6_packing": packing.op6_packing,
     "op8_quality_rules": rules.op8_quality_rules,
+    "op9_pii": pii.op9_pii,
 }
 
 ORACLE_SQL = {
