@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinweave.llm import cuckoo, packing, pieces, pii, rules, simhash, tokenfile
+from kinweave.llm import cuckoo, packing, pieces, pii, rules, simhash, tokenfile, zquality
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_files": tokenfile.op4_token_files,
     "op5_token_counts": pieces.op5_token_counts,
     "op6_packing": packing.op6_packing,
+    "op7_quality_classifier": zquality.op7_quality_classifier,
     "op8_quality_rules": rules.op8_quality_rules,
     "op9_pii": pii.op9_pii,
 }
