@@ -217,6 +217,28 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     return found.join(groups, "digest").select("doc_id", "digest", "n_points", "keep_id", "group_size", kept.alias("kept"))
 
 
+def drop_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that :func:`exact_duplicates` keeps, one for each text, with all their columns.
+
+    Rows repeated with the same id and length of text leave one. Texts aren't
+    shuffled: the kept rows are found by id, digest and length, and the digest
+    is made again beside the text.
+    """
+    groups = scratch_table(exact_groups(digests(docs)), "kept")
+    keep = groups.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_id"), F.col("n_points").alias("_points"))
+    names = docs.columns
+    keyed = _with_digest(docs).join(keep, "_digest").where(F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_points")))
+    return keyed.dropDuplicates(["_digest"]).select(*names)
+
+
+def _with_digest(docs: DataFrame) -> DataFrame:
+    """``docs`` with the digest and code points of each text."""
+    names = docs.columns
+    text = F.coalesce(F.col("text"), F.lit(""))
+    bare = F.translate(text, SPACE.decode(), "")
+    return docs.select(*names, F.unhex(F.sha2(bare.cast("binary"), 256)).alias("_digest"), F.char_length(text).cast("long").alias("_n"))
+
+
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
     found = exact_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))

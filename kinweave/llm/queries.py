@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinweave.llm import cuckoo, packing, pieces, pii, rules, simhash, tokenfile, zquality
+from kinweave.llm import cuckoo, lm, packing, pieces, pii, rules, simhash, tokenfile, zquality
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_quality_classifier": zquality.op7_quality_classifier,
     "op8_quality_rules": rules.op8_quality_rules,
     "op9_pii": pii.op9_pii,
+    "op10_lm_scoring": lm.op10_lm_scoring,
 }
 
 ORACLE_SQL = {

@@ -181,6 +181,31 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return measured.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(cutoffs))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, with all their columns.
+
+    The counts are made again beside each text once the cutoffs are known, so
+    that no text is shuffled.
+    """
+    lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    cutoffs = learn_cutoffs(scratch_table(measure(lean, ["doc_id", "lang"]), "quality"), labels)
+    names = docs.columns
+    limits = {stratum: {r: k for (s, r), k in cutoffs.items() if s == stratum} for stratum, _ in cutoffs}
+
+    def good(text: bytes, lang: str | None) -> bool:
+        n = dict(zip(COUNTS, counts(text)))
+        if n["n_words"] < 10 or 100 * n["n_repeat_words"] > 20 * n["n_words"]:
+            return False
+        return not any(n[RULES[r][1]] > 0 and min(GRID - 1, -(-n[RULES[r][0]] * GRID // n[RULES[r][1]]) - 1) >= k for r, k in limits.get(lang or "", {}).items())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column("lang").cast(pa.string()).to_pylist()
+            yield batch.filter(pa.array([good(t, x) for t, x in zip(text_bytes(batch), langs)], pa.bool_()))
+
+    return docs.select(*names).mapInArrow(run, docs.schema)
+
+
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     found = quality_rules(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_capitals")

@@ -210,6 +210,19 @@ def near_duplicates(docs: DataFrame, width: int = 4, bucket_limit: int = BUCKET_
     return found.join(label, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The row of each near-duplicate group with the smallest doc_id, with all its columns.
+
+    Rows that share a doc_id stay or go together: they go if any of them is in a
+    group with a smaller id. Rows without an id stay.
+    """
+    groups = near_duplicates(docs)
+    drop = groups.where("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    names = docs.columns
+    stay = docs.join(drop, docs.doc_id.cast("long") == drop._id, "left_anti")
+    return stay.select(*names)
+
+
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     from kinweave.llm.common import documents
 

@@ -12,14 +12,15 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 def hashes(words: list[bytes]) -> np.ndarray:
     """XXH64 of each word (seed 0) as unsigned integers; the same in every process."""
-    got = list(map(_KNOWN.get, words))
+    got: list = list(map(_KNOWN.get, words))
     if None in got:
         if len(_KNOWN) > CACHE:
             _KNOWN.clear()
         for i, x in enumerate(got):
             if x is None:
-                got[i] = _KNOWN[words[i]] = xxhash.xxh64_intdigest(words[i])
-    return np.array(got, np.uint64)
+                x = xxhash.xxh64_intdigest(words[i])
+                got[i] = _KNOWN[words[i]] = x - (1 << 64) if x >> 63 else x
+    return np.array(got, np.int64).view(np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
