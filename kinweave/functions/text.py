@@ -64,12 +64,11 @@ def word_set(text: Column) -> Column:
 
 def char_ngrams(text: Column, low: int, high: int | None = None) -> Column:
     """All n-grams for n from ``low`` to ``high``, repeats kept; shorter texts have none of a length."""
-    sizes = range(low, (high or low) + 1)
-    grams = [
-        F.when(F.char_length(text) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - (n - 1), F.lit(1))), lambda i, n=n: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-        for n in sizes
-    ]
-    return F.concat(*grams)
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.char_length(text) - (n - 1), F.lit(1)))
+        return F.when(F.char_length(text) >= n, F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*map(of, range(low, (high or low) + 1)))
 
 
 def word_ngrams(text: Column) -> Column:

@@ -148,7 +148,8 @@ def gate_audit(gate: DataFrame, truth: DataFrame, cutoffs: tuple[float, ...] = (
         F.count_if(F.col("kept") == F.col("gold")).alias("full_recall_s1"), F.count_if((F.col("kept") > 0) & (F.col("kept") < F.col("gold"))).alias("partial_miss_s1"), F.count_if(F.col("kept") == 0).alias("zero_recall_s1"),
     )
     rows = gate.where(neural).crossJoin(F.broadcast(grid)).groupBy("cutoff").agg(F.count("*").alias("neural_rows_total"), F.count_if(F.col("cutoff").isNull() | (F.col("tree_score") >= F.col("cutoff"))).alias("neural_rows_kept"))
-    out = grid.join(gold, grid.cutoff.eqNullSafe(gold.cutoff), "left").drop(gold.cutoff).join(rows, grid.cutoff.eqNullSafe(rows.cutoff), "left").drop(rows.cutoff)
+    gold, rows = gold.withColumnRenamed("cutoff", "_cg"), rows.withColumnRenamed("cutoff", "_cr")
+    out = grid.join(gold, F.col("cutoff").eqNullSafe(F.col("_cg")), "left").join(rows, F.col("cutoff").eqNullSafe(F.col("_cr")), "left").drop("_cg", "_cr")
     out = out.na.fill(0, ["gold_edge_count", "survived_gold_edge_count", "full_recall_s1", "partial_miss_s1", "zero_recall_s1", "neural_rows_total", "neural_rows_kept"])
     return out.withColumns({"micro_oracle_recall": share(F.col("survived_gold_edge_count"), F.col("gold_edge_count")), "neural_retained_fraction": share(F.col("neural_rows_kept"), F.col("neural_rows_total"), 0.0)})
 

@@ -1,10 +1,809 @@
-"""All registered queries of the linkage operators."""
+"""All registered queries of the linkage operators and the SQL that gives their rows."""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from kinweave.functions import ids, similarity as S, text as T
+from kinweave.operators import assembly, context, contracts, decode, metrics, models, neural, profile, retrieval, sampling, score_join, splits
+from kinweave.operators.components import connected_components
+from kinweave.plans import views as V
+from kinweave.streaming import pairs as streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+K = 5
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Whole numbers as long, fractions rounded to 6 digits."""
+    made = {}
+    for name, kind in df.dtypes:
+        if kind in ("tinyint", "smallint", "int"):
+            made[name] = F.col(name).cast("long")
+        elif kind in ("double", "float"):
+            made[name] = F.round(F.col(name).cast("double"), 6)
+    return df.withColumns(made) if made else df
+
+
+def query(name: str, sql: str | None = None):
+    def register(function: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: plain(function(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[name] = sql
+        return function
+
+    return register
+
+
+def _with(ctes: str, select: str, recursive: bool = False) -> str:
+    return f"WITH {'RECURSIVE ' if recursive else ''}{ctes.strip()}\n{select.strip()}"
+
+
+_F05 = "CASE WHEN tp + fn = 0 THEN CASE WHEN fp = 0 THEN 1.0 ELSE 0.0 END WHEN tp + fp = 0 THEN 0.0 ELSE 5.0 * tp / (5 * tp + 4 * fp + fn) END"
+_PRED = ", pred AS (SELECT DISTINCT source1_entity_id, candidate_entity_id FROM cand WHERE tree_score >= 0.85)"
+_CONFUSION = """, marks AS (
+  SELECT coalesce(t.source1_entity_id, p.source1_entity_id) AS source1_entity_id, coalesce(t.candidate_entity_id, p.candidate_entity_id) AS candidate_entity_id,
+         t.source1_entity_id IS NOT NULL AS t, p.source1_entity_id IS NOT NULL AS p
+  FROM truth t FULL JOIN pred p ON t.source1_entity_id = p.source1_entity_id AND t.candidate_entity_id = p.candidate_entity_id),
+conf AS (
+  SELECT q.source1_entity_id, count(*) FILTER (WHERE t AND p) AS tp, count(*) FILTER (WHERE p AND NOT t) AS fp, count(*) FILTER (WHERE t AND NOT p) AS fn
+  FROM queries q LEFT JOIN marks m USING (source1_entity_id) GROUP BY 1)"""
+
+
+def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.candidates(spark, sf_dir).where("tree_score >= 0.85")
+
+
+# text
+
+@query("norm_text", r"""
+SELECT doc_id, length(n) AS length, md5(n) AS digest FROM (
+  SELECT doc_id, trim(regexp_replace(regexp_replace(replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '&', ' and '), '[!-/:-@\[-`{-~]', ' ', 'g'), '[\x09-\x0D\x1C-\x20]+', ' ', 'g')) AS n
+  FROM documents)""")
+def norm_text(spark, d):
+    n = T.normalise("text")
+    return V.table(spark, d, "documents").select("doc_id", F.char_length(n).alias("length"), F.md5(n).alias("digest"))
+
+
+@query("char_ngrams", _with(V.RECORDS, f"""
+, grams AS (SELECT {V.norm_sql('business_name')} AS key FROM rec)
+SELECT substr(key, i, n) AS gram, count(*) AS uses, count(DISTINCT key) AS texts
+FROM grams, (SELECT unnest([2, 3, 4]) AS n), LATERAL (SELECT unnest(range(1, greatest(length(key) - n + 2, 1))) AS i) GROUP BY 1"""))
+def char_ngrams(spark, d):
+    key = T.normalise("business_name")
+    grams = V.records(spark, d).select(key.alias("key")).select("key", F.explode(T.char_ngrams(F.col("key"), 2, 4)).alias("gram"))
+    return grams.groupBy("gram").agg(F.count("*").alias("uses"), F.count_distinct("key").alias("texts"))
+
+
+@query("word_ngrams", _with(V.RECORDS, f"""
+, w AS (SELECT string_split({V.norm_sql('business_address')}, ' ') AS a FROM rec)
+SELECT gram, count(*) AS uses FROM (SELECT unnest(a) AS gram FROM w UNION ALL SELECT a[i] || ' ' || a[i + 1] FROM w, LATERAL (SELECT unnest(range(1, len(a))) AS i)) GROUP BY 1"""))
+def word_ngrams(spark, d):
+    return V.records(spark, d).select(F.explode(T.word_ngrams(T.normalise("business_address"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("uses"))
+
+
+@query("string_regex_features", _with(V.RECORDS, r"""
+SELECT entity_id, nullif(regexp_extract(business_address, '^\s*(?:[#]\s*\S+\s+)?(\d{1,6}(?:/\d{1,6})?[a-zA-Z]?)\b', 1), '') AS house,
+       list_extract(list_filter(regexp_extract_all(business_address, '\b(\d{4,10}(?:-\d{3,4})?)\b', 1),
+                    lambda x: x <> regexp_extract(business_address, '^\s*(?:[#]\s*\S+\s+)?(\d{1,6}(?:/\d{1,6})?[a-zA-Z]?)\b', 1)), -1) AS postcode,
+       regexp_matches(business_name, '(?i)\b(ltd|limited|llc|llp|inc|incorporated|corp|corporation|co|company|pvt|private|pllc|plc|gmbh|sa|sas|srl|bv|nv|ag|kg|pty)\b\.?') AS legal_form
+FROM rec"""))
+def string_regex_features(spark, d):
+    address = F.col("business_address")
+    return V.records(spark, d).select("entity_id", T.house_number(address).alias("house"), T.postcode(address, T.house_number(address)).alias("postcode"), T.has_legal_form(F.col("business_name")).alias("legal_form"))
+
+
+@query("number_features", _with(V.CANDIDATES, r"""
+, n AS (SELECT entity_id, list_distinct(regexp_extract_all(business_address, '\d+')) AS a FROM rec)
+SELECT source1_entity_id, candidate_entity_id, round(len(list_intersect(x.a, y.a)) / len(list_distinct(list_concat(x.a, y.a)))::DOUBLE, 6) AS address_number_overlap,
+       CASE WHEN len(list_intersect(x.a, y.a)) = 0 THEN 1.0::DOUBLE ELSE 0.0 END AS address_number_conflict,
+       CASE WHEN list_sort(x.a) = list_sort(y.a) THEN 1.0::DOUBLE ELSE 0.0 END AS address_numbers_exact
+FROM cand c JOIN n x ON x.entity_id = c.source1_entity_id JOIN n y ON y.entity_id = c.candidate_entity_id"""))
+def number_features(spark, d):
+    texts = V.records(spark, d).select("entity_id", F.col("business_address").alias("t"))
+    a, b = texts.toDF("source1_entity_id", "ta"), texts.toDF("candidate_entity_id", "tb")
+    made = S.number_features(F.lit(""), F.lit(""), F.col("ta"), F.col("tb"))
+    rows = V.candidates(spark, d).select("source1_entity_id", "candidate_entity_id").join(a, "source1_entity_id").join(b, "candidate_entity_id")
+    return rows.select("source1_entity_id", "candidate_entity_id", *(made[k].alias(k) for k in ("address_number_overlap", "address_number_conflict", "address_numbers_exact")))
+
+
+@query("jaccard_features", _with(V.CANDIDATES, f"""
+, w AS (SELECT entity_id, {V.norm_sql('business_address')} AS t, list_distinct(string_split({V.norm_sql('business_address')}, ' ')) AS a FROM rec)
+SELECT source1_entity_id, candidate_entity_id, round(len(list_intersect(x.a, y.a)) / len(list_distinct(list_concat(x.a, y.a)))::DOUBLE, 6) AS jaccard,
+       round(len(list_intersect(x.a, y.a)) / least(len(x.a), len(y.a))::DOUBLE, 6) AS containment, round(least(length(x.t), length(y.t)) / greatest(length(x.t), length(y.t))::DOUBLE, 6) AS length_ratio
+FROM cand c JOIN w x ON x.entity_id = c.source1_entity_id JOIN w y ON y.entity_id = c.candidate_entity_id"""))
+def jaccard_features(spark, d):
+    texts = V.records(spark, d).select("entity_id", T.normalise("business_address").alias("t"), F.array_distinct(T.words(T.normalise("business_address"))).alias("w"))
+    rows = V.candidates(spark, d).select("source1_entity_id", "candidate_entity_id").join(texts.toDF("source1_entity_id", "ta", "a"), "source1_entity_id").join(texts.toDF("candidate_entity_id", "tb", "b"), "candidate_entity_id")
+    a, b = F.col("a"), F.col("b")
+    return rows.select("source1_entity_id", "candidate_entity_id", S.token_jaccard(a, b).alias("jaccard"), S.token_containment(a, b).alias("containment"), S.length_ratio(F.col("ta"), F.col("tb")).alias("length_ratio"))
+
+
+def _pair_texts(spark, d):
+    return score_join.pair_texts(V.candidates(spark, d).select(*ids.PAIR_KEY, "label"), V.source(spark, d, "S1"), V.others(spark, d))
+
+
+@query("pair_features")
+def pair_features(spark, d):
+    return S.pair_features(_pair_texts(spark, d))
+
+
+@query("string_features")
+def string_features(spark, d):
+    return S.string_features(_pair_texts(spark, d))
+
+
+@query("pair_texts", _with(V.CANDIDATES, """
+SELECT c.source1_entity_id, c.candidate_source, c.candidate_entity_id, c.label, a.business_name AS name_a, a.business_address AS address_a, a.country AS country_a,
+       b.business_name AS name_b, b.business_address AS address_b, b.country AS country_b
+FROM cand c JOIN rec a ON a.entity_id = c.source1_entity_id JOIN rec b ON b.entity_id = c.candidate_entity_id"""))
+def pair_texts(spark, d):
+    return _pair_texts(spark, d)
+
+
+# identifiers
+
+@query("hash_fold", _with(V.RECORDS, """
+SELECT entity_id, CAST(CAST('0x' || substr(sha256('42:' || entity_id), 1, 16) AS UBIGINT) % 3 AS BIGINT) AS fold FROM rec"""))
+def hash_fold(spark, d):
+    return V.records(spark, d).select("entity_id", ids.hash_fold(F.col("entity_id")).alias("fold"))
+
+
+@query("packed_ids", _with(V.RECORDS, """
+SELECT entity_id, CAST(CASE WHEN candidate_source = 'S3' THEN 549755813888 ELSE 0 END + CAST(split_part(entity_id, '-', 2) AS BIGINT) AS BIGINT) AS code, entity_id AS back FROM others"""))
+def packed_ids(spark, d):
+    code = ids.packed(F.col("entity_id"))
+    return V.others(spark, d).select("entity_id", code.alias("code"), ids.unpacked(code).alias("back"))
+
+
+@query("candidate_sources", _with(V.RECORDS, "SELECT candidate_source, count(*) AS records FROM others GROUP BY 1"))
+def candidate_sources(spark, d):
+    return V.others(spark, d).groupBy(ids.candidate_source(F.col("entity_id")).alias("candidate_source")).agg(F.count("*").alias("records"))
+
+
+@query("route_normalise", """
+SELECT CASE o_orderstatus WHEN 'F' THEN 'neural_fusion' WHEN 'O' THEN 'tree_only' ELSE 'discard' END AS decision_route, count(*) AS pairs,
+       CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS neural_requested FROM orders GROUP BY 1""")
+def route_normalise(spark, d):
+    alias = F.when(F.col("o_orderstatus") == "F", " Neural ").when(F.col("o_orderstatus") == "O", "TREE").otherwise("discard")
+    rows = score_join.normalise_routes(V.table(spark, d, "orders").select(alias.alias("route")), fold_case=True)
+    return rows.groupBy("decision_route").agg(F.count("*").alias("pairs"), F.sum("neural_requested").alias("neural_requested"))
+
+
+# retrieval
+
+@query("exact_join", _with(V.RECORDS, f"""
+SELECT a.entity_id AS source1_entity_id, b.entity_id AS candidate_entity_id, b.candidate_source, 1.0::DOUBLE AS score, CAST(1 AS BIGINT) AS rank
+FROM rec a JOIN rec b ON {V.norm_sql('a.business_name')} = {V.norm_sql('b.business_name')} AND a.candidate_source = 'S1' AND b.candidate_source <> 'S1'"""))
+def exact_join(spark, d):
+    s1 = V.source(spark, d, "S1")
+    both = [retrieval.exact_matches(s1, V.source(spark, d, s), "business_name", s) for s in ("S2", "S3")]
+    return both[0].union(both[1]).select("source1_entity_id", "candidate_entity_id", "candidate_source", "score", "rank")
+
+
+@query("exact_join_ranked", _with(V.RECORDS, f"""
+, k AS (SELECT *, {V.norm_sql('business_name')} AS key FROM rec),
+o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY entity_id) AS rank, CAST(count(*) OVER (PARTITION BY key) > 100 AS BIGINT) AS frequent_key_expansion FROM k WHERE candidate_source = 'S2')
+SELECT a.entity_id AS source1_entity_id, o.entity_id AS candidate_entity_id, rank, frequent_key_expansion, 'exact' AS retrieval_provenance FROM k a JOIN o USING (key) WHERE a.candidate_source = 'S1'"""))
+def exact_join_ranked(spark, d):
+    found = retrieval.exact_matches(V.source(spark, d, "S1"), V.source(spark, d, "S2"), "business_name", "S2", ranked=True)
+    return found.select("source1_entity_id", "candidate_entity_id", "rank", "frequent_key_expansion", "retrieval_provenance")
+
+
+def _tfidf(spark, d, field):
+    s1 = V.source(spark, d, "S1")
+    both = [retrieval.tfidf_channel(s1, V.source(spark, d, s), field, K, s) for s in ("S2", "S3")]
+    return both[0].union(both[1])
+
+
+_TOP = "SELECT source1_entity_id, candidate_source, candidate_entity_id, round(score, 6) AS score, rank FROM tfidf"
+
+
+@query("tfidf_topk_name", _with(V.RECORDS + V.tfidf_sql("business_name", K), _TOP))
+def tfidf_topk_name(spark, d):
+    return _tfidf(spark, d, "business_name").select("source1_entity_id", "candidate_source", "candidate_entity_id", "score", "rank")
+
+
+@query("tfidf_topk_address", _with(V.RECORDS + V.tfidf_sql("business_address", K), _TOP))
+def tfidf_topk_address(spark, d):
+    return _tfidf(spark, d, "business_address").select("source1_entity_id", "candidate_source", "candidate_entity_id", "score", "rank")
+
+
+@query("union_channels", _with(V.RECORDS + V.tfidf_sql("business_name", K) + f""",
+exact AS (SELECT a.entity_id AS source1_entity_id, b.entity_id AS candidate_entity_id, b.candidate_source FROM all_keys a JOIN own b ON a.key = b.key WHERE a.candidate_source = 'S1'),
+parts AS (
+  SELECT source1_entity_id, candidate_source, candidate_entity_id, score AS s, rank AS r, 0 AS e FROM tfidf
+  UNION ALL SELECT source1_entity_id, candidate_source, candidate_entity_id, 0.0, NULL, 1 FROM exact)""", """
+SELECT source1_entity_id, candidate_source, candidate_entity_id, round(max(s), 6) AS name_tfidf_score, CAST(coalesce(min(r), 0) AS BIGINT) AS name_rank, CAST(max(e) AS BIGINT) AS retrieved_by_exact,
+       round(CASE WHEN max(e) = 1 THEN greatest(max(s), 1.0) ELSE max(s) END, 6) AS retrieval_score, 'tfidf' AS retrieval_provenance
+FROM parts GROUP BY 1, 2, 3"""))
+def union_channels(spark, d):
+    s1 = V.source(spark, d, "S1")
+    channels = {}
+    for s in ("S2", "S3"):
+        channels[f"{s}_exact_name"] = retrieval.exact_matches(s1, V.source(spark, d, s), "business_name", s)
+        channels[f"{s}_name"] = retrieval.tfidf_channel(s1, V.source(spark, d, s), "business_name", K, s)
+    out = retrieval.union_channels(channels)
+    return out.select(*ids.PAIR_KEY, "name_tfidf_score", "name_rank", "retrieved_by_exact", "retrieval_score", "retrieval_provenance")
+
+
+@query("prune_budget", _with(V.CANDIDATES, """
+, p AS (SELECT *, sum(retrieved_by_exact) OVER (PARTITION BY source1_entity_id) AS e,
+        row_number() OVER (PARTITION BY source1_entity_id, retrieved_by_exact ORDER BY retrieval_score DESC, candidate_source, candidate_entity_id) AS place FROM cand)
+SELECT source1_entity_id, candidate_source, candidate_entity_id, retrieval_score, retrieved_by_exact FROM p WHERE retrieved_by_exact = 1 OR place <= 4 - e"""))
+def prune_budget(spark, d):
+    return retrieval.prune(V.candidates(spark, d), 4).select(*ids.PAIR_KEY, "retrieval_score", "retrieved_by_exact")
+
+
+@query("slice_k", _with(V.CANDIDATES, """
+SELECT source1_entity_id, candidate_source, candidate_entity_id, CAST(name_rank <= 2 AS BIGINT) AS retrieved_by_name, CAST(address_rank <= 2 AS BIGINT) AS retrieved_by_address
+FROM cand WHERE name_rank <= 2 OR address_rank <= 2 OR retrieved_by_exact = 1"""))
+def slice_k(spark, d):
+    return retrieval.slice_k(V.candidates(spark, d), 2).select(*ids.PAIR_KEY, "retrieved_by_name", "retrieved_by_address")
+
+
+@query("strict_country", _with(V.RECORDS, """
+SELECT a.entity_id AS source1_entity_id, b.candidate_source, b.entity_id AS candidate_entity_id FROM s1 a JOIN others b USING (business_name, country)"""))
+def strict_country(spark, d):
+    s1, rest = V.source(spark, d, "S1"), V.others(spark, d)
+    pairs = s1.select(F.col("entity_id").alias("source1_entity_id"), "business_name").join(rest.select("business_name", "candidate_source", F.col("entity_id").alias("candidate_entity_id")), "business_name").drop("business_name")
+    return retrieval.same_country(pairs, s1, rest).select(*ids.PAIR_KEY)
+
+
+@query("dense_topk", """
+WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS candidate_id, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 9) AS score
+  FROM u a, u b WHERE a.vec_id % 50 = 0)
+SELECT query_id, candidate_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_id) AS rank FROM s QUALIFY rank <= 10""")
+def dense_topk(spark, d):
+    vectors = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return retrieval.dense_top_k(vectors.where("id % 50 = 0"), vectors, 10).select("query_id", "candidate_id", "score", "rank")
+
+
+# windows
+
+@query("context_features", _with(V.CANDIDATES, """
+, w AS (
+  SELECT *, count(*) OVER s AS candidate_count, row_number() OVER (PARTITION BY source1_entity_id ORDER BY retrieval_score DESC, candidate_entity_id) AS retrieval_score_rank,
+         max(retrieval_score) OVER s AS best, CASE WHEN row_number() OVER (PARTITION BY source1_entity_id, candidate_source ORDER BY retrieval_score DESC, candidate_entity_id) = 1 THEN candidate_source END AS strongest
+  FROM cand WINDOW s AS (PARTITION BY source1_entity_id)),
+x AS (SELECT *, coalesce(max(CASE WHEN retrieval_score_rank = 2 THEN retrieval_score END) OVER (PARTITION BY source1_entity_id), best) AS second,
+             CAST(sum(CASE WHEN retrieval_score >= best - 0.05::DOUBLE THEN 1 ELSE 0 END) OVER (PARTITION BY source1_entity_id) AS BIGINT) AS near_tie_count FROM w)
+SELECT source1_entity_id, candidate_source, candidate_entity_id, candidate_count, retrieval_score_rank, best AS best_retrieval_score, round(best - retrieval_score, 6) AS retrieval_score_gap,
+       round(greatest(best - second, 0), 6) AS best_second_retrieval_score_gap, near_tie_count, CAST(retrieved_by_name = 1 AND retrieved_by_address = 1 AS BIGINT) AS retrieved_by_both,
+       CAST(coalesce(strongest = 'S2', false) AS BIGINT) AS is_strongest_s2_candidate, CAST(coalesce(strongest = 'S3', false) AS BIGINT) AS is_strongest_s3_candidate FROM x"""))
+def context_features(spark, d):
+    return context.add_context(V.candidates(spark, d)).select(*ids.PAIR_KEY, "candidate_count", "retrieval_score_rank", "best_retrieval_score", "retrieval_score_gap", "best_second_retrieval_score_gap", "near_tie_count", "retrieved_by_both", "is_strongest_s2_candidate", "is_strongest_s3_candidate")
+
+
+@query("competition_features", _with(V.CANDIDATES, """
+, w AS (
+  SELECT *, count(DISTINCT source1_entity_id) OVER (PARTITION BY candidate_entity_id) AS n, row_number() OVER (PARTITION BY candidate_entity_id ORDER BY retrieval_score DESC, source1_entity_id) AS r,
+         max(retrieval_score) OVER (PARTITION BY candidate_entity_id) AS best FROM cand),
+x AS (SELECT *, coalesce(max(CASE WHEN r = 2 THEN retrieval_score END) OVER (PARTITION BY candidate_entity_id), best) AS second,
+             CAST(sum(CASE WHEN retrieval_score >= best - 0.05::DOUBLE THEN 1 ELSE 0 END) OVER (PARTITION BY candidate_entity_id) AS BIGINT) AS ties FROM w)
+SELECT source1_entity_id, candidate_source, candidate_entity_id, n AS competing_s1_count, best AS best_competing_s1_score, round(greatest(best - second, 0), 6) AS competing_best_second_gap,
+       ties AS competing_near_tie_count, r AS competing_s1_rank, round(best - retrieval_score, 6) AS competing_s1_score_gap, CAST(r = 1 AS BIGINT) AS is_top_competing_s1 FROM x"""))
+def competition_features(spark, d):
+    return context.source_complete_competition(V.candidates(spark, d)).select(*ids.PAIR_KEY, "competing_s1_count", "best_competing_s1_score", "competing_best_second_gap", "competing_near_tie_count", "competing_s1_rank", "competing_s1_score_gap", "is_top_competing_s1")
+
+
+@query("gate_routes", _with(V.CANDIDATES, """
+, g AS (SELECT *, row_number() OVER (PARTITION BY candidate_entity_id ORDER BY tree_score DESC, source1_entity_id) AS gate_rank, max(tree_score) OVER (PARTITION BY candidate_entity_id) AS best FROM cand),
+e AS (SELECT *, min(CASE WHEN gate_rank <= 3 THEN tree_score END) OVER (PARTITION BY candidate_entity_id) AS edge FROM g)
+SELECT source1_entity_id, candidate_source, candidate_entity_id, gate_rank, round(best - tree_score, 6) AS gate_score_gap,
+       CASE WHEN tree_score < 0.0001 THEN 'discard' WHEN gate_rank <= 3 OR tree_score >= edge - 0.05::DOUBLE THEN 'neural' ELSE 'tree_only' END AS route FROM e"""))
+def gate_routes(spark, d):
+    return context.route_pairs(V.candidates(spark, d)).select(*ids.PAIR_KEY, "gate_rank", "gate_score_gap", "route")
+
+
+@query("pair_weights", _with(V.CANDIDATES, "SELECT source1_entity_id, candidate_entity_id, round(1.0::DOUBLE / count(*) OVER (PARTITION BY source1_entity_id), 6) AS weight FROM cand"))
+def pair_weights(spark, d):
+    rows = V.candidates(spark, d)
+    return rows.select("source1_entity_id", "candidate_entity_id", context.pair_weights(rows).alias("weight"))
+
+
+# sampling and splits
+
+@query("hard_negatives", _with(V.CANDIDATES, """
+, h AS (SELECT *, row_number() OVER (PARTITION BY source1_entity_id, label ORDER BY retrieval_score DESC, candidate_entity_id) AS place FROM cand)
+SELECT source1_entity_id, candidate_source, candidate_entity_id, label FROM h WHERE label = 1 OR place <= 3"""))
+def hard_negatives(spark, d):
+    return sampling.hard_rows(V.candidates(spark, d), 3).select(*ids.PAIR_KEY, "label")
+
+
+@query("train_pairs_inject", _with(V.CANDIDATES, """
+, few AS (SELECT source1_entity_id, candidate_source, candidate_entity_id, retrieval_score FROM cand WHERE address_rank <= 3),
+l AS (SELECT few.*, CAST(t.source1_entity_id IS NOT NULL AS BIGINT) AS label FROM few LEFT JOIN truth t USING (source1_entity_id, candidate_entity_id)),
+inj AS (SELECT t.source1_entity_id, split_part(t.candidate_entity_id, '-', 1) AS candidate_source, t.candidate_entity_id, CAST(1 AS BIGINT) AS label, CAST(1 AS BIGINT) AS injected
+        FROM truth t ANTI JOIN few USING (source1_entity_id, candidate_entity_id)),
+h AS (SELECT *, row_number() OVER (PARTITION BY source1_entity_id, label ORDER BY retrieval_score DESC, candidate_entity_id) AS place FROM l),
+r AS (SELECT *, CAST('0x' || substr(sha256(CAST(42 + CAST(CAST('0x' || substr(sha256('42:' || source1_entity_id), 1, 16) AS UBIGINT) AS HUGEINT) AS VARCHAR) || ':' || candidate_entity_id), 1, 16) AS UBIGINT) AS u FROM h),
+o AS (SELECT *, row_number() OVER (PARTITION BY source1_entity_id, label, place > 2 ORDER BY u, candidate_entity_id) AS rest FROM r)
+SELECT source1_entity_id, candidate_source, candidate_entity_id, label, CAST(0 AS BIGINT) AS injected FROM o WHERE label = 1 OR place <= 2 OR rest <= 1
+UNION ALL SELECT * FROM inj"""))
+def train_pairs_inject(spark, d):
+    few = V.candidates(spark, d).where("address_rank <= 3").select(*ids.PAIR_KEY, "retrieval_score", "retrieval_provenance")
+    out = sampling.training_pairs(few, V.queries(spark, d).select("source1_entity_id"), V.truth(spark, d), 2, 1)
+    return out.select(*ids.PAIR_KEY, "label", F.col("positive_injected_for_training").alias("injected"))
+
+
+@query("best_duplicates", """
+SELECT o_custkey AS source1_entity_id, o_orderstatus AS candidate_source, o_orderpriority AS candidate_entity_id, max(o_totalprice) AS retrieval_score FROM orders GROUP BY 1, 2, 3""")
+def best_duplicates(spark, d):
+    rows = V.table(spark, d, "orders").select(F.col("o_custkey").alias("source1_entity_id"), F.col("o_orderstatus").alias("candidate_source"), F.col("o_orderpriority").alias("candidate_entity_id"), F.col("o_totalprice").alias("retrieval_score"))
+    return sampling.best_duplicates(rows)
+
+
+_COMPONENTS = V.RECORDS + """,
+edges AS (SELECT source1_entity_id AS a, candidate_entity_id AS b FROM truth UNION SELECT candidate_entity_id, source1_entity_id FROM truth),
+reach AS (SELECT entity_id AS n, entity_id AS r FROM rec UNION SELECT reach.n, edges.b FROM reach JOIN edges ON edges.a = reach.r),
+comp AS (SELECT n AS entity_id, min(r) AS component FROM reach GROUP BY 1)"""
+
+
+@query("components", _with(_COMPONENTS, "SELECT * FROM comp", True))
+def components(spark, d):
+    return splits.entity_components(V.records(spark, d).select("entity_id"), V.truth(spark, d))
+
+
+@query("component_stats", _with(_COMPONENTS + """,
+m AS (SELECT source1_entity_id, count(*) AS n FROM truth GROUP BY 1),
+j AS (SELECT component, comp.entity_id, s1.country, CASE WHEN s1.entity_id IS NOT NULL THEN coalesce(m.n, 0) END AS matches FROM comp LEFT JOIN s1 USING (entity_id) LEFT JOIN m ON m.source1_entity_id = comp.entity_id)""", """
+SELECT component, count(*) AS entities, count(country) AS s1, CAST(sum(coalesce(matches, 0)) AS BIGINT) AS matches, count(*) FILTER (WHERE matches = 0) AS singletons, coalesce(min(country), 'UNKNOWN') AS country FROM j GROUP BY 1""", True))
+def component_stats(spark, d):
+    truth = V.truth(spark, d)
+    return splits.component_stats(splits.entity_components(V.records(spark, d).select("entity_id"), truth), V.source(spark, d, "S1"), truth)
+
+
+@query("fold_integrity", _with(V.RECORDS, "SELECT source1_entity_id, candidate_entity_id FROM truth WHERE false"))
+def fold_integrity(spark, d):
+    truth = V.truth(spark, d)
+    folds = splits.create_folds(V.source(spark, d, "S1"), truth, V.others(spark, d))
+    return splits.cross_fold_edges(folds, truth).select("source1_entity_id", "candidate_entity_id")
+
+
+@query("fold_balance")
+def fold_balance(spark, d):
+    truth = V.truth(spark, d)
+    return splits.split_summary(splits.create_folds(V.source(spark, d, "S1"), truth, V.others(spark, d)), V.source(spark, d, "S1"), truth)
+
+
+@query("split_summary", _with(V.RECORDS, """
+, f AS (SELECT entity_id, CAST(CAST('0x' || substr(sha256('42:' || entity_id), 1, 16) AS UBIGINT) % 3 AS BIGINT) AS fold FROM rec),
+m AS (SELECT source1_entity_id, count(*) AS n FROM truth GROUP BY 1),
+r AS (SELECT f.fold, f.entity_id, s1.country, CASE WHEN s1.entity_id IS NOT NULL THEN coalesce(m.n, 0) END AS matches FROM f LEFT JOIN s1 USING (entity_id) LEFT JOIN m ON m.source1_entity_id = f.entity_id),
+t AS (SELECT fold, country, 1 AS k, * EXCLUDE (fold, country) FROM r WHERE country IS NOT NULL UNION ALL SELECT fold, NULL, 0, * EXCLUDE (fold, country) FROM r)
+SELECT fold, country, count(*) AS total_entities, count(*) FILTER (WHERE matches IS NOT NULL) AS s1_count, count(*) FILTER (WHERE entity_id LIKE 'S2-%') AS s2_count,
+       count(*) FILTER (WHERE entity_id LIKE 'S3-%') AS s3_count, count(*) FILTER (WHERE matches = 0) AS singletons, count(*) FILTER (WHERE matches > 0) AS non_singletons,
+       CAST(coalesce(sum(matches), 0) AS BIGINT) AS total_matches FROM t GROUP BY fold, country, k"""))
+def split_summary(spark, d):
+    folds = V.records(spark, d).select("entity_id", ids.hash_fold(F.col("entity_id")).alias("fold"))
+    return splits.split_summary(folds, V.source(spark, d, "S1"), V.truth(spark, d))
+
+
+@query("partition_queries")
+def partition_queries(spark, d):
+    return splits.partition_queries(V.source(spark, d, "S1"), V.truth(spark, d))
+
+
+@query("select_queries")
+def select_queries(spark, d):
+    truth = V.truth(spark, d)
+    folds = splits.create_folds(V.source(spark, d, "S1"), truth, V.others(spark, d))
+    return splits.select_queries(V.source(spark, d, "S1"), truth, folds, [1, 2], 200)
+
+
+@query("graph_components", """
+WITH RECURSIVE both_ways AS (SELECT DISTINCT o_custkey AS a, o_orderkey + 1000000000 AS b FROM orders UNION SELECT o_orderkey + 1000000000, o_custkey FROM orders),
+reach AS (SELECT a AS n, a AS r FROM both_ways UNION SELECT reach.n, b FROM reach JOIN both_ways ON both_ways.a = reach.r)
+SELECT n AS node, min(r) AS component FROM reach GROUP BY 1""")
+def graph_components(spark, d):
+    return connected_components(V.table(spark, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + 1000000000).alias("dst")))
+
+
+# joins and contracts
+
+@query("score_join", _with(V.ROUTED, """
+SELECT source1_entity_id, candidate_source, candidate_entity_id, tree_score, decision_route, CAST(decision_route = 'neural_fusion' AS BIGINT) AS neural_requested,
+       CAST(decision_route = 'neural_fusion' AS BIGINT) AS has_neural_score, CASE WHEN decision_route = 'neural_fusion' THEN match_probability END AS neural_probability FROM routed"""))
+def score_join_query(spark, d):
+    rows = V.routed(spark, d)
+    key = rows.select(*ids.PAIR_KEY)
+    neural_scores = rows.where("decision_route = 'neural_fusion'").select(*ids.PAIR_KEY, F.col("match_probability").alias("score"))
+    out = score_join.join_scores(key, rows.select(*ids.PAIR_KEY, F.col("tree_score").alias("score")), rows.select(*ids.PAIR_KEY, F.col("decision_route").alias("route")), neural_scores)
+    return out.select(*ids.PAIR_KEY, "tree_score", "decision_route", "neural_requested", "has_neural_score", "neural_probability")
+
+
+@query("keyed_labels", _with(V.CANDIDATES, """
+SELECT c.source1_entity_id, c.candidate_source, c.candidate_entity_id, CAST(t.source1_entity_id IS NOT NULL AS BIGINT) AS label FROM cand c LEFT JOIN truth t USING (source1_entity_id, candidate_entity_id)"""))
+def keyed_labels(spark, d):
+    return score_join.keyed_labels(V.candidates(spark, d), V.truth(spark, d), V.queries(spark, d))
+
+
+@query("coverage_violations", _with(V.CANDIDATES, """
+SELECT t.source1_entity_id, t.candidate_entity_id, 'missing key' AS rule FROM truth t ANTI JOIN (SELECT * FROM cand WHERE address_rank <= 3) c USING (source1_entity_id, candidate_entity_id)
+UNION ALL SELECT c.source1_entity_id, c.candidate_entity_id, 'unknown key' FROM (SELECT * FROM cand WHERE address_rank <= 3) c ANTI JOIN truth t USING (source1_entity_id, candidate_entity_id)"""))
+def coverage_violations(spark, d):
+    return contracts.coverage(V.candidates(spark, d).where("address_rank <= 3"), V.truth(spark, d), ["source1_entity_id", "candidate_entity_id"])
+
+
+@query("contract_violations", _with(V.ROUTED, """
+SELECT source1_entity_id, candidate_source, candidate_entity_id, 'fused without request or score' AS rule FROM routed WHERE decision_route = 'neural_fusion' AND address_tfidf_score < 0.7
+UNION ALL SELECT source1_entity_id, candidate_source, candidate_entity_id, 'requested but not fused' FROM routed WHERE decision_route <> 'neural_fusion' AND name_tfidf_score >= 1"""))
+def contract_violations(spark, d):
+    rows = V.routed(spark, d).withColumns({"neural_requested": F.when(F.col("decision_route") == "neural_fusion", 1).otherwise((F.col("name_tfidf_score") >= 1).cast("int")), "has_neural_score": F.when(F.col("decision_route") == "neural_fusion", (F.col("address_tfidf_score") >= 0.7).cast("int")).otherwise(0)})
+    return contracts.joined_violations(rows)
+
+
+@query("candidate_id_violations", _with(V.CANDIDATES, """
+SELECT source1_entity_id, candidate_entity_id, 'unknown candidate' AS rule FROM cand WHERE candidate_source = 'S3'
+UNION ALL SELECT source1_entity_id, candidate_entity_id, 'not in the stated source' FROM cand WHERE candidate_source = 'S3'"""))
+def candidate_id_violations(spark, d):
+    return contracts.candidate_id_violations(V.candidates(spark, d), V.source(spark, d, "S1"), V.source(spark, d, "S2"), V.source(spark, d, "S3").where(F.lit(False)))
+
+
+@query("resolve_sources", _with(V.RECORDS, "SELECT entity_id, candidate_source FROM others"))
+def resolve_sources(spark, d):
+    rest = V.others(spark, d)
+    return score_join.resolve_sources(rest, rest)
+
+
+# decoding
+
+@query("decode_threshold", _with(V.ROUTED, """
+SELECT q.source1_entity_id, coalesce(string_agg(candidate_entity_id, ',' ORDER BY candidate_entity_id), '') AS matched_entity_ids
+FROM queries q LEFT JOIN (SELECT * FROM routed WHERE match_probability >= 0.7) r USING (source1_entity_id) GROUP BY 1"""))
+def decode_threshold(spark, d):
+    return decode.as_lists(V.queries(spark, d), decode.by_threshold(V.routed(spark, d), 0.7))
+
+
+@query("ranked_lists", _with(V.ROUTED, """
+SELECT source1_entity_id, string_agg(candidate_entity_id, ',' ORDER BY match_probability DESC, candidate_entity_id) AS matched_entity_ids FROM routed WHERE match_probability >= 0.6 GROUP BY 1"""))
+def ranked_lists(spark, d):
+    return decode.ranked_lists(V.routed(spark, d), 0.6, "match_probability")
+
+
+@query("best_owner", _with(V.ROUTED, """
+, o AS (SELECT *, row_number() OVER (PARTITION BY candidate_entity_id ORDER BY (match_probability >= 0.6) DESC, CASE WHEN match_probability >= 0.6 THEN match_probability END DESC,
+        CASE WHEN match_probability >= 0.6 THEN tree_score END DESC, source1_entity_id) AS place FROM routed)
+SELECT candidate_source, candidate_entity_id, match_probability >= 0.6 AS ownership_selected, CASE WHEN match_probability >= 0.6 THEN source1_entity_id ELSE '' END AS chosen_owner FROM o WHERE place = 1"""))
+def best_owner(spark, d):
+    return decode.best_owner(V.routed(spark, d), 0.6).select("candidate_source", "candidate_entity_id", "ownership_selected", "chosen_owner")
+
+
+@query("decode_expected_f05")
+def decode_expected_f05(spark, d):
+    return decode.by_expected_f05(V.routed(spark, d))
+
+
+@query("match_count_distribution", _with(V.ROUTED, """
+, p AS (SELECT source1_entity_id, list(match_probability) AS p FROM routed GROUP BY 1)
+SELECT source1_entity_id, len(p) + 1 AS terms, round(list_reduce(list_prepend(1.0::DOUBLE, list_transform(p, lambda x: 1 - x)), lambda a, b: a * b), 6) AS none_matches,
+       round(list_sum(p), 6) AS expected_matches FROM p"""))
+def match_count_distribution(spark, d):
+    dist = decode.match_count_distribution(F.col("p"))
+    rows = V.routed(spark, d).groupBy("source1_entity_id").agg(F.collect_list("match_probability").alias("p")).withColumn("dist", dist)
+    mean = F.aggregate(F.zip_with("dist", F.sequence(F.lit(0), F.size("dist") - 1), lambda x, k: x * k), F.lit(0.0), lambda a, b: a + b)
+    return rows.select("source1_entity_id", F.size("dist").alias("terms"), F.col("dist")[0].alias("none_matches"), mean.alias("expected_matches"))
+
+
+_GRID = "(SELECT unnest([0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.87, 0.9, 0.95])::DOUBLE AS threshold)"
+
+
+@query("threshold_search", _with(V.ROUTED, f"""
+, g AS (SELECT source1_entity_id, count(*) AS gold FROM truth GROUP BY 1),
+hits AS (SELECT threshold, r.source1_entity_id, count(*) FILTER (WHERE t.source1_entity_id IS NOT NULL) AS tp, count(*) FILTER (WHERE t.source1_entity_id IS NULL) AS fp
+         FROM {_GRID} JOIN routed r ON r.match_probability >= threshold LEFT JOIN truth t USING (source1_entity_id, candidate_entity_id) GROUP BY 1, 2),
+c AS (SELECT threshold, q.source1_entity_id, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(gold, 0) - coalesce(tp, 0) AS fn
+      FROM {_GRID} CROSS JOIN queries q LEFT JOIN g USING (source1_entity_id) LEFT JOIN hits USING (threshold, source1_entity_id))
+SELECT threshold, round(avg({_F05}), 6) AS macro_f05 FROM c GROUP BY 1"""))
+def threshold_search(spark, d):
+    return decode.threshold_scores(V.queries(spark, d), V.truth(spark, d), V.routed(spark, d), list(decode.THRESHOLDS), "match_probability")
+
+
+# metrics
+
+@query("f05_per_s1", _with(V.CANDIDATES + _PRED + _CONFUSION, f"SELECT source1_entity_id, tp, fp, fn, round({_F05}, 6) AS f05 FROM conf"))
+def f05_per_s1(spark, d):
+    return metrics.score_entities(V.queries(spark, d), V.truth(spark, d), _predicted(spark, d))
+
+
+@query("macro_f05", _with(V.CANDIDATES + _PRED + _CONFUSION, f"""
+, s AS (SELECT *, {_F05} AS f FROM conf)
+SELECT round(avg(f), 6) AS macro_f05, round(coalesce(avg(f) FILTER (WHERE tp + fn = 0), 1), 6) AS singleton_accuracy, round(coalesce(avg(f) FILTER (WHERE tp + fn > 0), 1), 6) AS non_singleton_macro_f05,
+       count(*) AS entities, count(*) FILTER (WHERE tp + fn = 0) AS singletons FROM s"""))
+def macro_f05(spark, d):
+    return metrics.macro(metrics.score_entities(V.queries(spark, d), V.truth(spark, d), _predicted(spark, d)))
+
+
+@query("macro_f05_by_country", _with(V.CANDIDATES + _PRED + _CONFUSION, f"""
+, s AS (SELECT country, tp, fn, {_F05} AS f FROM conf JOIN queries USING (source1_entity_id))
+SELECT country, round(avg(f), 6) AS macro_f05, round(coalesce(avg(f) FILTER (WHERE tp + fn = 0), 1), 6) AS singleton_accuracy, round(coalesce(avg(f) FILTER (WHERE tp + fn > 0), 1), 6) AS non_singleton_macro_f05,
+       count(*) AS entities, count(*) FILTER (WHERE tp + fn = 0) AS singletons FROM s GROUP BY 1"""))
+def macro_f05_by_country(spark, d):
+    scored = metrics.score_entities(V.queries(spark, d), V.truth(spark, d), _predicted(spark, d))
+    return metrics.macro(scored.join(V.queries(spark, d), "source1_entity_id"), "country")
+
+
+_FEW = ", few AS (SELECT DISTINCT source1_entity_id, candidate_entity_id FROM cand WHERE address_rank <= 3)"
+
+
+def _few(spark, d):
+    return V.candidates(spark, d).where("address_rank <= 3")
+
+
+@query("recall_by_source", _with(V.CANDIDATES + _FEW, """
+SELECT split_part(t.candidate_entity_id, '-', 1) AS candidate_source, count(*) AS total, count(f.source1_entity_id) AS retrieved, round(count(f.source1_entity_id) / count(*)::DOUBLE, 6) AS recall
+FROM truth t LEFT JOIN few f USING (source1_entity_id, candidate_entity_id) GROUP BY 1"""))
+def recall_by_source(spark, d):
+    return metrics.recall(V.truth(spark, d), _few(spark, d), {"candidate_source": ids.candidate_source(F.col("candidate_entity_id"))})
+
+
+@query("recall_by_country", _with(V.CANDIDATES + _FEW, """
+SELECT q.country, count(*) AS total, count(f.source1_entity_id) AS retrieved, round(count(f.source1_entity_id) / count(*)::DOUBLE, 6) AS recall
+FROM truth t JOIN queries q USING (source1_entity_id) LEFT JOIN few f USING (source1_entity_id, candidate_entity_id) GROUP BY 1"""))
+def recall_by_country(spark, d):
+    return metrics.recall(V.truth(spark, d).join(V.queries(spark, d), "source1_entity_id"), _few(spark, d), {"country": F.col("country")})
+
+
+@query("recall_by_match_bin", _with(V.CANDIDATES + _FEW, f"""
+, c AS (SELECT q.source1_entity_id, count(f.source1_entity_id) AS tp, 0 AS fp, count(t.source1_entity_id) - count(f.source1_entity_id) AS fn, count(t.source1_entity_id) AS m
+        FROM queries q LEFT JOIN truth t USING (source1_entity_id) LEFT JOIN few f ON f.source1_entity_id = t.source1_entity_id AND f.candidate_entity_id = t.candidate_entity_id GROUP BY 1)
+SELECT CASE WHEN m = 0 THEN '0' WHEN m = 1 THEN '1' WHEN m <= 3 THEN '2-3' ELSE '4+' END AS bin, count(*) AS queries, CAST(sum(tp) AS BIGINT) AS retrieved, CAST(sum(m) AS BIGINT) AS total,
+       round(avg({_F05}), 6) AS oracle_macro_f05, round(CASE WHEN sum(m) > 0 THEN sum(tp) / sum(m)::DOUBLE ELSE 1 END, 6) AS recall FROM c GROUP BY 1"""))
+def recall_by_match_bin(spark, d):
+    return metrics.recall_by_match_bin(V.queries(spark, d), V.truth(spark, d), _few(spark, d))
+
+
+@query("candidate_diagnostics", _with(V.CANDIDATES, """
+, n AS (SELECT q.source1_entity_id, count(c.source1_entity_id) AS k FROM queries q LEFT JOIN cand c USING (source1_entity_id) GROUP BY 1)
+SELECT count(*) AS num_s1, CAST(sum(k) AS BIGINT) AS total_candidate_pairs, round(avg(k), 6) AS average_candidates_per_s1, round(quantile_cont(k, 0.5), 6) AS median_candidates_per_s1,
+       round(quantile_cont(k, 0.95), 6) AS p95_candidates_per_s1, max(k) AS max_candidates_per_s1, count(*) FILTER (WHERE k = 0) AS zero_candidate_queries,
+       round(1 - sum(k) / greatest(1, count(*) * (SELECT count(*) FROM others))::DOUBLE, 6) AS reduction_ratio FROM n"""))
+def candidate_diagnostics(spark, d):
+    return metrics.candidate_diagnostics(V.queries(spark, d), V.candidates(spark, d), V.source(spark, d, "S2").count(), V.source(spark, d, "S3").count())
+
+
+@query("retrieval_report", _with(V.CANDIDATES + ", pred AS (SELECT DISTINCT source1_entity_id, candidate_entity_id FROM cand)" + _CONFUSION, f"""
+SELECT count(*) FILTER (WHERE retrieved_by_exact = 1) AS overlap, CAST(0 AS BIGINT) AS exact_only, count(*) FILTER (WHERE retrieved_by_exact = 0) AS tfidf_only, CAST(0 AS BIGINT) AS frequent_key_expansions,
+       (SELECT round(avg({_F05}), 6) FROM conf) AS all_candidates_f05 FROM cand"""))
+def retrieval_report(spark, d):
+    return metrics.retrieval_report(V.queries(spark, d), V.truth(spark, d), V.candidates(spark, d))
+
+
+@query("miss_report", _with(V.CANDIDATES + _FEW, """
+, k AS (SELECT source1_entity_id, count(*) AS n FROM few GROUP BY 1),
+c AS (SELECT q.source1_entity_id, count(f.source1_entity_id) AS got, count(t.source1_entity_id) AS gold FROM queries q LEFT JOIN truth t USING (source1_entity_id)
+      LEFT JOIN few f ON f.source1_entity_id = t.source1_entity_id AND f.candidate_entity_id = t.candidate_entity_id GROUP BY 1),
+r AS (SELECT c.*, coalesce(k.n, 0) AS n FROM c LEFT JOIN k USING (source1_entity_id))
+SELECT count(*) AS query_count, count(*) FILTER (WHERE n = 0) AS zero_candidate_query_count, CAST(sum(gold) AS BIGINT) AS gold_edge_count, CAST(sum(got) AS BIGINT) AS retrieved_gold_edge_count,
+       CAST(sum(gold - got) AS BIGINT) AS missed_gold_edge_count, count(*) FILTER (WHERE got > 0 AND got < gold) AS partial_miss_query_count, count(*) FILTER (WHERE got = 0 AND gold > 0) AS complete_miss_non_singleton_count,
+       CAST(quantile_disc(n, 0.95) AS BIGINT) AS p95_candidates_per_s1, round(avg(CASE WHEN gold = 0 THEN 1.0 WHEN got = 0 THEN 0 ELSE 5.0 * got / (5 * got + gold - got) END), 6) AS oracle_macro_f05,
+       round(sum(got) / sum(gold)::DOUBLE, 6) AS candidate_pair_recall FROM r"""))
+def miss_report(spark, d):
+    return metrics.miss_report(V.queries(spark, d), V.truth(spark, d), _few(spark, d))
+
+
+@query("edge_metrics_by_source", _with(V.CANDIDATES + _PRED + _CONFUSION, """
+, e AS (SELECT split_part(candidate_entity_id, '-', 1) AS candidate_source, count(*) FILTER (WHERE t AND p) AS tp, count(*) FILTER (WHERE p AND NOT t) AS fp, count(*) FILTER (WHERE t AND NOT p) AS fn FROM marks GROUP BY 1)
+SELECT *, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp)::DOUBLE, 6) END AS pair_precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn)::DOUBLE, 6) END AS pair_recall FROM e"""))
+def edge_metrics_by_source(spark, d):
+    return metrics.edge_metrics(V.truth(spark, d), _predicted(spark, d), by_source=True)
+
+
+@query("route_metrics", _with(V.ROUTED + _PRED, """
+, r AS (SELECT decision_route, count(*) AS pair_count, count(p.source1_entity_id) AS selected_edge_count, count(*) FILTER (WHERE p.source1_entity_id IS NOT NULL AND t.source1_entity_id IS NOT NULL) AS tp
+        FROM routed r LEFT JOIN pred p USING (source1_entity_id, candidate_entity_id) LEFT JOIN truth t USING (source1_entity_id, candidate_entity_id) GROUP BY 1)
+SELECT *, selected_edge_count - tp AS fp, CASE WHEN selected_edge_count > 0 THEN round(tp / selected_edge_count::DOUBLE, 6) END AS pair_precision, round(tp / (SELECT count(*) FROM truth)::DOUBLE, 6) AS pair_recall_against_all_gold FROM r"""))
+def route_metrics(spark, d):
+    return metrics.route_metrics(V.routed(spark, d), V.truth(spark, d), _predicted(spark, d))
+
+
+@query("gate_audit_cutoffs", _with(V.ROUTED, """
+, cuts AS (SELECT unnest([NULL, 0.82, 0.9, 0.95])::DOUBLE AS cutoff),
+k AS (SELECT cutoff, t.source1_entity_id, count(*) AS gold,
+             count(*) FILTER (WHERE r.decision_route IS NOT NULL AND r.decision_route <> 'discard' AND (cutoff IS NULL OR r.decision_route <> 'neural_fusion' OR r.tree_score >= cutoff)) AS kept
+      FROM cuts CROSS JOIN truth t LEFT JOIN routed r USING (source1_entity_id, candidate_entity_id) GROUP BY 1, 2),
+n AS (SELECT cutoff, count(*) AS total, count(*) FILTER (WHERE cutoff IS NULL OR tree_score >= cutoff) AS kept FROM cuts CROSS JOIN routed WHERE decision_route = 'neural_fusion' GROUP BY 1),
+g AS (SELECT cutoff, CAST(sum(gold) AS BIGINT) AS gold_edge_count, CAST(sum(kept) AS BIGINT) AS survived_gold_edge_count, avg(kept / gold::DOUBLE) AS macro, count(*) FILTER (WHERE kept = gold) AS full_recall_s1,
+             count(*) FILTER (WHERE kept > 0 AND kept < gold) AS partial_miss_s1, count(*) FILTER (WHERE kept = 0) AS zero_recall_s1 FROM k GROUP BY 1)
+SELECT g.cutoff, gold_edge_count, survived_gold_edge_count, round(macro, 6) AS macro_oracle_recall, full_recall_s1, partial_miss_s1, zero_recall_s1, n.total AS neural_rows_total, n.kept AS neural_rows_kept,
+       round(survived_gold_edge_count / gold_edge_count::DOUBLE, 6) AS micro_oracle_recall, round(n.kept / n.total::DOUBLE, 6) AS neural_retained_fraction FROM g JOIN n ON g.cutoff IS NOT DISTINCT FROM n.cutoff"""))
+def gate_audit_cutoffs(spark, d):
+    return metrics.gate_audit(V.routed(spark, d), V.truth(spark, d), (0.82, 0.9, 0.95))
+
+
+@query("ownership_audit", _with(V.RECORDS, """
+, o AS (SELECT candidate_entity_id, count(*) AS n FROM truth GROUP BY 1)
+SELECT count(*) AS source_record_count, count(*) FILTER (WHERE n = 1) AS records_with_one_owner, count(*) FILTER (WHERE n > 1) AS records_with_multiple_owners, count(*) FILTER (WHERE n > 1) = 0 AS ownership_enabled FROM o"""))
+def ownership_audit(spark, d):
+    return metrics.ownership_audit(V.truth(spark, d))
+
+
+_PATTERNS = V.ROUTED + """,
+feat AS (
+  SELECT *, name_tfidf_score AS name_raw_similarity, CAST(name_tfidf_score < 1 AS INT) AS name_tokens_extra_in_b, 0 AS name_tokens_missing_from_b, CAST(address_tfidf_score > 0.9 AS INT) AS legal_form_agreement,
+         CAST(address_tfidf_score = 1 AS INT) AS house_number_match, 1 AS house_number_a_present, 1 AS house_number_b_present, CAST(address_tfidf_score < 0.2 AS INT) AS postcode_match_house_mismatch,
+         CAST(tree_score >= 0.85 AS INT) AS predicted_match FROM routed),
+mask AS (
+  SELECT *, name_raw_similarity >= 0.6 AND (name_tokens_extra_in_b > 0 OR name_tokens_missing_from_b > 0) AS branch_word_added, name_raw_similarity >= 0.6 AND legal_form_agreement = 0 AS legal_form_swapped,
+         name_raw_similarity >= 0.6 AND house_number_match = 0 AS house_number_shifted, name_raw_similarity >= 0.6 AND postcode_match_house_mismatch = 1 AS postcode_masks_house FROM feat)"""
+
+
+def _patterned(spark, d):
+    name, address = F.col("name_tfidf_score"), F.col("address_tfidf_score")
+    return V.routed(spark, d).withColumns({
+        "name_raw_similarity": name, "name_tokens_extra_in_b": (name < 1).cast("int"), "name_tokens_missing_from_b": F.lit(0), "legal_form_agreement": (address > 0.9).cast("int"),
+        "house_number_match": (address == 1).cast("int"), "house_number_a_present": F.lit(1), "house_number_b_present": F.lit(1), "postcode_match_house_mismatch": (address < 0.2).cast("int"),
+        "predicted_match": (F.col("tree_score") >= 0.85).cast("int"),
+    })
+
+
+@query("fake_pattern_masks", _with(_PATTERNS, """
+SELECT source1_entity_id, candidate_entity_id, branch_word_added, legal_form_swapped, house_number_shifted, postcode_masks_house,
+       branch_word_added OR legal_form_swapped OR house_number_shifted OR postcode_masks_house AS fake_pattern_union FROM mask"""))
+def fake_pattern_masks(spark, d):
+    return metrics.pattern_masks(_patterned(spark, d)).select("source1_entity_id", "candidate_entity_id", "branch_word_added", "legal_form_swapped", "house_number_shifted", "postcode_masks_house", "fake_pattern_union")
+
+
+@query("slices_grouping_sets", _with(_PATTERNS, """
+, u AS (
+  SELECT unnest(list_filter([CASE WHEN branch_word_added THEN 'branch_word_added' END, CASE WHEN legal_form_swapped THEN 'legal_form_swapped' END, CASE WHEN house_number_shifted THEN 'house_number_shifted' END,
+         CASE WHEN postcode_masks_house THEN 'postcode_masks_house' END, CASE WHEN branch_word_added OR legal_form_swapped OR house_number_shifted OR postcode_masks_house THEN 'fake_pattern_union' END,
+         CASE WHEN branch_word_added OR legal_form_swapped OR house_number_shifted OR postcode_masks_house THEN 'legit_variation_guardrail' END], lambda x: x IS NOT NULL)) AS pattern,
+         decision_route, candidate_source, country, label, predicted_match, match_probability FROM mask),
+v AS (
+  SELECT pattern, 'all' AS dimension, 'all' AS slice, label, predicted_match, match_probability FROM u UNION ALL SELECT pattern, 'decision_route', decision_route, label, predicted_match, match_probability FROM u
+  UNION ALL SELECT pattern, 'candidate_source', candidate_source, label, predicted_match, match_probability FROM u UNION ALL SELECT pattern, 'country', country, label, predicted_match, match_probability FROM u)
+SELECT pattern, dimension, slice, count(*) FILTER (WHERE label = 0) AS negative_count, count(*) FILTER (WHERE label = 0 AND predicted_match = 1) AS false_accept_count,
+       round(count(*) FILTER (WHERE label = 0 AND predicted_match = 0) / nullif(count(*) FILTER (WHERE label = 0), 0)::DOUBLE, 6) AS negative_catch_rate,
+       count(*) FILTER (WHERE label = 1) AS positive_count, count(*) FILTER (WHERE label = 1 AND predicted_match = 0) AS false_reject_count,
+       round(count(*) FILTER (WHERE label = 1 AND predicted_match = 1) / nullif(count(*) FILTER (WHERE label = 1), 0)::DOUBLE, 6) AS positive_keep_rate, round(avg(match_probability), 6) AS mean_match_probability
+FROM v GROUP BY 1, 2, 3"""))
+def slices_grouping_sets(spark, d):
+    return metrics.pattern_slices(_patterned(spark, d), score="match_probability")
+
+
+# assembly and profiles
+
+@query("assemble_candidates", _with(V.ROUTED, """
+SELECT q.source1_entity_id, coalesce(string_agg(candidate_entity_id, ',' ORDER BY candidate_entity_id), '') AS candidate_entity_ids
+FROM queries q LEFT JOIN (SELECT * FROM routed WHERE decision_route <> 'discard') r USING (source1_entity_id) GROUP BY 1"""))
+def assemble_candidates(spark, d):
+    return _assembled(spark, d)[0].select("source1_entity_id", "candidate_entity_ids")
+
+
+_OWNED = V.ROUTED + """,
+o AS (SELECT *, row_number() OVER (PARTITION BY candidate_entity_id ORDER BY match_probability DESC, tree_score DESC, source1_entity_id) AS place FROM routed WHERE match_probability >= 0.6)"""
+
+
+@query("assemble_matches", _with(_OWNED, """
+SELECT q.source1_entity_id, coalesce(string_agg(candidate_entity_id, ',' ORDER BY candidate_entity_id), '') AS matched_entity_ids
+FROM queries q LEFT JOIN (SELECT * FROM o WHERE place = 1) r USING (source1_entity_id) GROUP BY 1"""))
+def assemble_matches(spark, d):
+    return _assembled(spark, d)[1].select("source1_entity_id", "matched_entity_ids")
+
+
+def _assembled(spark, d):
+    rows = V.routed(spark, d)
+    order = V.queries(spark, d).select("source1_entity_id", F.split_part("source1_entity_id", F.lit("-"), F.lit(2)).cast("long").alias("position"))
+    chosen = decode.best_owner(rows, 0.6).where("ownership_selected")
+    return assembly.assemble(rows, chosen, order, V.source(spark, d, "S2"), V.source(spark, d, "S3"))
+
+
+@query("submission_violations", _with(V.ROUTED, """
+, l AS (SELECT source1_entity_id, string_agg(candidate_entity_id, ',') AS x FROM routed WHERE match_probability >= 0.6 GROUP BY 1)
+SELECT q.source1_entity_id, 'missing S1' AS rule FROM queries q ANTI JOIN l USING (source1_entity_id)"""))
+def submission_violations(spark, d):
+    lists = decode.ranked_lists(V.routed(spark, d), 0.6, "match_probability")
+    return assembly.submission_violations(V.queries(spark, d), lists, V.source(spark, d, "S2"), V.source(spark, d, "S3"))
+
+
+@query("profile_stats", """
+WITH v AS (SELECT 'text' AS "column", coalesce(text, '') AS value FROM documents UNION ALL SELECT 'lang', coalesce(lang, '') FROM documents UNION ALL SELECT 'source', coalesce(source, '') FROM documents)
+SELECT "column", count(*) AS rows, count(*) FILTER (WHERE value = '') AS empty, count(*) FILTER (WHERE value <> '' AND trim(value) = '') AS blank,
+       count(*) FILTER (WHERE trim(value) IN ('NULL', 'N/A', 'nan', 'NaN', 'NA', '-', 'unknown', 'none', 'None', 'NONE')) AS sentinels, count(*) FILTER (WHERE regexp_matches(value, '[^\\x00-\\x7F]')) AS non_ascii,
+       round(quantile_cont(length(value), 0.5) FILTER (WHERE value <> ''), 6) AS length_p50, round(quantile_cont(length(value), 0.9) FILTER (WHERE value <> ''), 6) AS length_p90,
+       round(quantile_cont(length(value), 0.95) FILTER (WHERE value <> ''), 6) AS length_p95, max(length(value)) FILTER (WHERE value <> '') AS length_max FROM v GROUP BY 1""")
+def profile_stats(spark, d):
+    return profile.column_profile(V.table(spark, d, "documents"), ["text", "lang", "source"])
+
+
+@query("id_profile", """
+WITH n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS unique_ids, count(*) FILTER (WHERE n > 1) AS repeated_ids, CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS rows_of_repeated_ids FROM n""")
+def id_profile(spark, d):
+    return profile.id_profile(V.table(spark, d, "orders"), "o_custkey")
+
+
+@query("truth_profile", _with(V.RECORDS, """
+SELECT CAST(0 AS BIGINT) AS orphan_s2_refs, (SELECT count(DISTINCT candidate_entity_id) FROM truth WHERE candidate_entity_id LIKE 'S3-%') AS orphan_s3_refs, CAST(0 AS BIGINT) AS invalid_prefix_refs,
+       CAST(0 AS BIGINT) AS s1_missing_from_truth, CAST(0 AS BIGINT) AS s1_not_in_source"""))
+def truth_profile(spark, d):
+    s3 = V.source(spark, d, "S3").where(F.lit(False))
+    return profile.truth_profile(V.queries(spark, d).select("source1_entity_id"), V.truth(spark, d), V.source(spark, d, "S1"), V.source(spark, d, "S2"), s3)
+
+
+@query("cardinality_histogram", _with(V.RECORDS, """
+SELECT m AS matches, count(*) AS entities FROM (SELECT q.source1_entity_id, count(t.source1_entity_id) AS m FROM queries q LEFT JOIN truth t USING (source1_entity_id) GROUP BY 1) GROUP BY 1"""))
+def cardinality_histogram(spark, d):
+    return profile.match_histogram(V.queries(spark, d), V.truth(spark, d))
+
+
+@query("difficult_nonmatches", _with(V.CANDIDATES, r"""
+, w AS (SELECT entity_id, list_distinct(string_split(lower(business_name), ' ')) AS n, list_distinct(string_split(lower(business_address), ' ')) AS a FROM rec)
+SELECT c.source1_entity_id, c.candidate_entity_id, round(0.7::DOUBLE * (len(list_intersect(x.n, y.n)) / len(list_distinct(list_concat(x.n, y.n)))::DOUBLE) + 0.3::DOUBLE * (len(list_intersect(x.a, y.a)) / len(list_distinct(list_concat(x.a, y.a)))::DOUBLE), 6) AS difficulty
+FROM cand c JOIN w x ON x.entity_id = c.source1_entity_id JOIN w y ON y.entity_id = c.candidate_entity_id WHERE label = 0
+ORDER BY round(0.7::DOUBLE * (len(list_intersect(x.n, y.n)) / len(list_distinct(list_concat(x.n, y.n)))::DOUBLE) + 0.3::DOUBLE * (len(list_intersect(x.a, y.a)) / len(list_distinct(list_concat(x.a, y.a)))::DOUBLE), 9) DESC, 1, 2 LIMIT 100"""))
+def difficult_nonmatches(spark, d):
+    return profile.difficult_non_matches(_pair_texts(spark, d)).select("source1_entity_id", "candidate_entity_id", "difficulty")
+
+
+@query("compare_countries", _with(V.RECORDS, "SELECT country, count(*) AS rows FROM others o WHERE country = 'ECONOMY' GROUP BY 1"))
+def compare_countries(spark, d):
+    return profile.only_in_test(V.source(spark, d, "S1").where("country <> 'ECONOMY'"), V.others(spark, d))
+
+
+# models
+
+@query("neural_scores")
+def neural_scores(spark, d):
+    return neural.predict_pairs(_pair_texts(spark, d))
+
+
+@query("out_of_fold_scores")
+def out_of_fold_scores(spark, d):
+    truth = V.truth(spark, d)
+    folds = splits.create_folds(V.source(spark, d, "S1"), truth, V.others(spark, d))
+    pairs = sampling.add_folds(context.add_context(V.candidates(spark, d)), folds)
+    config = models.PairModelConfig(iterations=5)
+    return models.out_of_fold(pairs, ["name_tfidf_score", "address_tfidf_score", "retrieval_score_rank"], config).select(*ids.PAIR_KEY, "label", "score")
+
+
+@query("fused_calibrated")
+def fused_calibrated(spark, d):
+    rows = V.routed(spark, d).withColumns({"neural_probability": F.round(F.col("address_tfidf_score") * 0.8 + 0.1, 6)})
+    rows = context.add_competition(rows, check=False)
+    labels, parts = rows.select(*ids.PAIR_KEY, (F.col("tree_score") > 0.84).cast("int").alias("label")), splits.partition_queries(V.source(spark, d, "S1"), V.truth(spark, d))
+    features = {"neural_fusion": ["tree_logit", "neural_logit_feature", "competing_s1_count"], "tree_only": ["tree_logit", "competing_s1_count"]}
+    labels = labels.withColumn("label", F.when(F.pmod(F.xxhash64("candidate_entity_id"), F.lit(5)) == 0, 1 - F.col("label")).otherwise(F.col("label")))
+    fused = models.apply_fusion(rows, models.fit_fusion(rows, labels, parts, features))
+    return models.apply_calibration(fused, models.fit_calibration(fused, labels, parts)).select(*ids.PAIR_KEY, "decision_route", "fusion_score", "match_probability")
+
+
+# event time
+
+@query("event_windows", """
+SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS start, event_type, count(*) AS rows FROM events GROUP BY 1, 2""")
+def event_windows(spark, d):
+    return streams.windowed_counts(V.table(spark, d, "events"), "ts", "event_type").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "rows")
+
+
+@query("event_sessions", """
+WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e)
+SELECT user_id, count(*) AS rows, CAST(n AS BIGINT) AS session FROM s GROUP BY user_id, n""")
+def event_sessions(spark, d):
+    from pyspark.sql import Window
+
+    found = streams.sessions(V.table(spark, d, "events"), "ts", "user_id")
+    return found.select("user_id", "rows", F.row_number().over(Window.partitionBy("user_id").orderBy("session_window.start")).alias("session"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact and TF-IDF channels, united, thresholded and scored against the truth for every S1."""
+    s1 = V.source(spark, sf_dir, "S1")
+    channels = {}
+    for s in ("S2", "S3"):
+        own = V.source(spark, sf_dir, s)
+        channels[f"{s}_exact_name"] = retrieval.exact_matches(s1, own, "business_name", s)
+        channels[f"{s}_name"] = retrieval.tfidf_channel(s1, own, "business_name", K, s)
+    chosen = retrieval.union_channels(channels).where("retrieval_score >= 0.95")
+    return plain(metrics.score_entities(V.queries(spark, sf_dir), V.truth(spark, sf_dir), chosen))
+
+
+QUERIES["linkage_baseline"] = flagship
