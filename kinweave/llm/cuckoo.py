@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kinweave.llm.common import SPACE, documents, id_text, record, text_bytes
+from kinweave.llm.common import SPACE, documents, fresh, id_text, record, text_bytes
 from kinweave.sources.scratch import scratch_table
 
 SLOTS = 4
@@ -224,19 +224,16 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     shuffled: the kept rows are found by id, digest and length, and the digest
     is made again beside the text.
     """
-    groups = scratch_table(exact_groups(digests(docs)), "kept")
-    keep = groups.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_id"), F.col("n_points").alias("_points"))
     names = docs.columns
-    keyed = _with_digest(docs).join(keep, "_digest").where(F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_points")))
-    return keyed.dropDuplicates(["_digest"]).select(*names)
-
-
-def _with_digest(docs: DataFrame) -> DataFrame:
-    """``docs`` with the digest and code points of each text."""
-    names = docs.columns
-    text = F.coalesce(F.col("text"), F.lit(""))
+    digest, points = fresh(docs, "_digest"), fresh(docs, "_points")
+    keep_id, keep_points = fresh(docs, "_keep_id"), fresh(docs, "_keep_points")
+    groups = scratch_table(exact_groups(digests(docs)), "kept")
+    keep = groups.select(F.col("digest").alias(digest), F.col("keep_id").alias(keep_id), F.col("n_points").alias(keep_points))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     bare = F.translate(text, SPACE.decode(), "")
-    return docs.select(*names, F.unhex(F.sha2(bare.cast("binary"), 256)).alias("_digest"), F.char_length(text).cast("long").alias("_n"))
+    keyed = docs.select(*names, F.unhex(F.sha2(bare.cast("binary"), 256)).alias(digest), F.char_length(text).cast("long").alias(points))
+    stays = F.col("doc_id").cast("long").eqNullSafe(F.col(keep_id)) & (F.col(points) == F.col(keep_points))
+    return keyed.join(keep, digest).where(stays).dropDuplicates([digest]).select(*names)
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

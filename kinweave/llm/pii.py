@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from kinweave.llm import words
-from kinweave.llm.common import documents, id_text, record, text_bytes
+from kinweave.llm.common import documents, fresh, id_text, record, text_bytes
 from kinweave.sources.scratch import scratch_table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -234,21 +234,22 @@ def redact(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDEN
     text stays null. Base spans are found again from the text, so only the
     discovered ones are joined to it, if there are any.
     """
-    found = find_pii(docs, support, confidence)
-    extra = found.where(F.size("extra") > 0).select(F.col("doc_id").alias("_pii_id"), F.col("key").alias("_pii_key"), F.col("extra").alias("_pii_spans")).dropDuplicates(["_pii_id", "_pii_key"])
     names = docs.columns
+    who, key, spans = fresh(docs, "_pii_id"), fresh(docs, "_pii_key"), fresh(docs, "_pii_spans")
+    found = find_pii(docs, support, confidence).where(F.size("extra") > 0)
+    extra = found.select(F.col("doc_id").alias(who), F.col("key").alias(key), F.col("extra").alias(spans)).dropDuplicates([who, key])
     if extra.isEmpty():
-        source = docs.withColumn("_pii_spans", F.lit(None).cast("array<struct<kind:string,start:long,end:long>>"))
+        source = docs.withColumn(spans, F.lit(None).cast("array<struct<kind:string,start:long,end:long>>"))
     else:
-        key = F.xxhash64(F.coalesce("text", F.lit("")))
-        source = docs.join(extra, docs.doc_id.cast("long").eqNullSafe(extra._pii_id) & (key == extra._pii_key), "left").select(*names, "_pii_spans")
+        text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+        source = docs.join(extra, F.col("doc_id").cast("long").eqNullSafe(F.col(who)) & (text == F.col(key)), "left").select(*names, spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for i, more in enumerate(batch.column("_pii_spans").to_pylist()):
-                if texts[i] and (spans := [*({"kind": k, "start": a, "end": b} for k, a, b in base_spans(texts[i])), *(more or ())]):
-                    texts[i] = _replaced(texts[i], spans)
+            for i, more in enumerate(batch.column(spans).to_pylist()):
+                if texts[i] and (own := [*({"kind": k, "start": a, "end": b} for k, a, b in base_spans(texts[i])), *(more or ())]):
+                    texts[i] = _replaced(texts[i], own)
             columns = [pa.array(texts, batch.schema.field("text").type) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kinweave.llm.common import id_text, record, text_bytes
+from kinweave.llm.common import documents, fresh, id_text, record, text_bytes
 from kinweave.operators.components import connected_components
 from kinweave.sources.scratch import scratch_table
 
@@ -217,14 +217,11 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     group with a smaller id. Rows without an id stay.
     """
     groups = near_duplicates(docs)
-    drop = groups.where("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    names = docs.columns
-    stay = docs.join(drop, docs.doc_id.cast("long") == drop._id, "left_anti")
-    return stay.select(*names)
+    gone = fresh(docs, "_gone")
+    drop = groups.where("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(drop, F.col("doc_id").cast("long") == F.col(gone), "left_anti").select(*docs.columns)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
-    from kinweave.llm.common import documents
-
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
