@@ -96,10 +96,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def context(text: str, start: int) -> str:
-    """The pattern before a place: the last two words, lower-cased, glued cue included."""
+    """The pattern before a place: the last two words, lower-cased, glued cue included.
+
+    Empty where there's neither a second word nor a cue: the start of a text
+    says nothing about what follows.
+    """
     before = text[max(0, start - REACH) : start].lower()
-    glued = "" if not before or before[-1].isspace() else "+"
-    return " ".join(before.split()[-2:]) + glued
+    last = before.split()[-2:]
+    if not before or before[-1].isspace():
+        return " ".join(last) if len(last) == 2 else ""
+    return " ".join(last) + "+"
 
 
 def candidates(text: str, known: list[tuple[str, int, int]]) -> list[tuple[int, int, str, str, bool]]:
@@ -187,14 +193,14 @@ def _bare(pattern):
 
 def learn_patterns(docs: DataFrame, found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
     """``pattern, confidence`` of the patterns that may discover identifiers."""
-    edges = scratch_table(found.select(F.explode("near").alias("e")).groupBy("e.pattern", "e.instance").agg(F.max("e.seed").alias("seed"), F.count("*").alias("n")), "pii-edges")
+    edges = scratch_table(found.select(F.explode("near").alias("e")).where("e.pattern <> ''").groupBy("e.pattern", "e.instance").agg(F.max("e.seed").alias("seed"), F.count("*").alias("n")), "pii-edges")
     wide = edges.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("n").alias("follows")).where(F.col("instances") >= support).withColumn("bare", _bare(F.col("pattern")))
     wide = scratch_table(wide, "pii-patterns")
     empty = docs.sparkSession.createDataFrame([], "pattern string, confidence double")
     if wide.isEmpty():
         return empty
-    # a pattern with a glued cue or a single word is counted by the tokens that follow it alone
-    total = wide.join(_occurrences(docs, wide), "bare", "left").select("pattern", F.when(F.col("pattern").endswith("+") | ~F.col("pattern").contains(" "), F.col("follows")).otherwise(F.greatest("follows", F.coalesce("total", "follows"))).alias("total"))
+    # a pattern with a glued cue is counted by the tokens that follow it alone
+    total = wide.join(_occurrences(docs, wide), "bare", "left").select("pattern", F.when(F.col("pattern").endswith("+"), F.col("follows")).otherwise(F.greatest("follows", F.coalesce("total", "follows"))).alias("total"))
     graph = scratch_table(edges.join(total, "pattern"), "pii-graph")
     score = graph.select("instance", F.col("seed").cast("double").alias("score")).where("score > 0").distinct()
     for _ in range(rounds):
