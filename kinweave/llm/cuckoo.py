@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kinweave.llm.common import SPACE, documents, fresh, id_text, record, text_bytes
+from kinweave.llm.common import SPACE, documents, fresh, id_text, lean, record, text_bytes
 from kinweave.sources.scratch import scratch_table
 
 SLOTS = 4
@@ -129,7 +129,7 @@ def digests(docs: DataFrame) -> DataFrame:
             points = [len(t) if t.isascii() else len(t.decode("utf-8", "replace")) for t in texts]
             yield record(schema, batch.column("doc_id"), [hashlib.sha256(normalised(t)).digest() for t in texts], points)
 
-    return id_text(docs).mapInArrow(run, "doc_id long, digest binary, n_points long")
+    return id_text(docs).mapInArrow(lean(run), "doc_id long, digest binary, n_points long")
 
 
 def _better(a: tuple, b: tuple) -> tuple:
@@ -161,7 +161,7 @@ def _index(rows: DataFrame, flush: int | None) -> DataFrame:
                 index = CuckooIndex()
         yield from out(index)
 
-    return rows.mapInArrow(run, "digest binary, n_points long, keep_id long, group_size long")
+    return rows.mapInArrow(lean(run), "digest binary, n_points long, keep_id long, group_size long")
 
 
 def exact_groups(found: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def apply_changes(live: DataFrame, changes: DataFrame) -> DataFrame:
     old = live.select(F.lit(None).cast("long").alias("seq"), F.lit("insert").alias("op"), "digest", "n_points", "keep_id", "group_size")
     new = changes.select("seq", "op", "digest", "n_points", "keep_id", F.lit(1).cast("long").alias("group_size"))
     rows = old.unionByName(new).where("digest IS NOT NULL AND op IS NOT NULL")
-    return rows.repartition("digest").sortWithinPartitions(F.col("seq").asc_nulls_first()).mapInArrow(run, "digest binary, n_points long, keep_id long, group_size long")
+    return rows.repartition("digest").sortWithinPartitions(F.col("seq").asc_nulls_first()).mapInArrow(lean(run), "digest binary, n_points long, keep_id long, group_size long")
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -220,20 +220,25 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`exact_duplicates` keeps, one for each text, with all their columns.
 
-    Rows repeated with the same id and length of text leave one. Texts aren't
-    shuffled: the kept rows are found by id, digest and length, and the digest
-    is made again beside the text.
+    Rows repeated with the same id and length of text leave one. The rows that
+    go, the smaller side as a rule, are known by id, digest and length; the
+    digest is made again beside the text. Only if such a key stands for several
+    rows that stay are those reduced to one by a further step.
     """
     names = docs.columns
     digest, points = fresh(docs, "_digest"), fresh(docs, "_points")
-    keep_id, keep_points = fresh(docs, "_keep_id"), fresh(docs, "_keep_points")
-    groups = scratch_table(exact_groups(digests(docs)), "kept")
-    keep = groups.select(F.col("digest").alias(digest), F.col("keep_id").alias(keep_id), F.col("n_points").alias(keep_points))
+    other_id, other_digest, other_points = fresh(docs, "_id"), fresh(docs, "_other"), fresh(docs, "_n")
+    rated = scratch_table(exact_duplicates(docs), "rated")
+    drop = rated.where("NOT kept").select(F.col("doc_id").alias(other_id), F.col("digest").alias(other_digest), F.col("n_points").alias(other_points)).distinct()
+    several = rated.where("kept AND group_size > 1").groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     bare = F.translate(text, SPACE.decode(), "")
     keyed = docs.select(*names, F.unhex(F.sha2(bare.cast("binary"), 256)).alias(digest), F.char_length(text).cast("long").alias(points))
-    stays = F.col("doc_id").cast("long").eqNullSafe(F.col(keep_id)) & (F.col(points) == F.col(keep_points))
-    return keyed.join(keep, digest).where(stays).dropDuplicates([digest]).select(*names)
+    gone = F.col("doc_id").cast("long").eqNullSafe(F.col(other_id)) & (F.col(digest) == F.col(other_digest)) & (F.col(points) == F.col(other_points))
+    stay = keyed.join(drop, gone, "left_anti")
+    if not several.isEmpty():
+        stay = stay.dropDuplicates([digest])
+    return stay.select(*names)
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

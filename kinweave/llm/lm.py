@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from kinweave.llm import words
-from kinweave.llm.common import documents, id_text, record, text_bytes
+from kinweave.llm.common import documents, id_text, lean, record, text_bytes, trim
 from kinweave.sources.scratch import scratch_table
 
 FILTER_BYTES = 64 << 20
@@ -139,7 +139,7 @@ def _count(train: DataFrame, order: int, slices: int) -> DataFrame:
         if parts:
             yield from _by_slice(*_summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])), slices)
 
-    return train.select("text").mapInArrow(run, _COUNTS_DDL)
+    return train.select("text").mapInArrow(lean(run), _COUNTS_DDL)
 
 
 def _merge(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -151,6 +151,7 @@ def count_words(train: DataFrame, slices: int) -> DataFrame:
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         h, n = _merge(rows)
+        trim()
         return pd.DataFrame({"slice": [key[0]], "hashes": [h.astype("<u8").tobytes()], "counts": [_pack(n)], "n_types": [len(h)], "n_tokens": [int(n.sum())]})
 
     return _count(train, 1, slices).groupBy("slice").applyInPandas(run, f"{_COUNTS_DDL}, n_types long, n_tokens long")
@@ -219,6 +220,7 @@ def build_filter(train: DataFrame, unigrams: DataFrame, slices: int, volume: int
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         lowest, table = build_slice(*_merge(rows), width)
+        trim()
         return pd.DataFrame({"slice": [key[0]], "lowest": [lowest], "words": [table]})
 
     rows = unigrams.select("slice", "hashes", "counts").union(_count(train, 2, slices))
@@ -289,7 +291,7 @@ def _scan(docs: DataFrame, shared, slices: int, n_tokens: int, n_types: int) ->
                     yield record(schema, [batch_id] * len(cut), [int(where[a]) for a in cut], none, none, none, none, none, [dd[a:b].astype("<u2").tobytes() for a, b in spans], [dh[a:b].astype("<u8").tobytes() for a, b in spans], [_pack(times[a:b]) for a, b in spans])
                 batch_id += 1
 
-    return docs.mapInArrow(run, _SCORED)
+    return docs.mapInArrow(lean(run), _SCORED)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -317,7 +319,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 h, n = np.frombuffer(hb, "<u8"), _unpack(nb)
                 yield record(hot_schema, h[n >= least].view(np.int64), n[n >= least])
 
-    rows = unigrams.select("hashes", "counts").mapInArrow(frequent, "h long, n long").toPandas()
+    rows = unigrams.select("hashes", "counts").mapInArrow(lean(frequent), "h long, n long").toPandas()
     hot = rows["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hot)
     hot, hot_n = hot[order], rows["n"].to_numpy(np.int64)[order]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kinweave.llm.bytebpe import byte_bpe, default_path
-from kinweave.llm.common import documents, id_text, record, text_bytes
+from kinweave.llm.common import documents, id_text, lean, record, text_bytes, trim
 
 TIERS = (256, 512, 1024, 2048)
 #: Bytes of text that a shard is meant to hold, and sequences of a step group.
@@ -111,7 +111,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             ids = [encoder.ids(t.decode("utf-8", "replace")) + end for t in text_bytes(batch)]
             yield record(schema, batch.column("doc_id"), ids, [encoder.dtype.itemsize] * len(ids))
 
-    return id_text(docs).mapInArrow(run, "doc_id long, ids binary, item int")
+    return id_text(docs).mapInArrow(lean(run), "doc_id long, ids binary, item int")
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_group long"
@@ -143,6 +143,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tupl
                 out.append((who[doc], start, length, zlib.crc32(ids[doc][start : start + length].tobytes()), len(ids[doc]), (int(shard) << 32) + s, offset, window, (int(shard) << 32) + group))
                 offset += length
         names = [c.split()[0] for c in PIECES.split(", ")]
+        trim()
         return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
     shard = F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.lit(shards))

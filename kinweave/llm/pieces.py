@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kinweave.llm.common import documents, id_text, record, text_bytes
+from kinweave.llm.common import documents, id_text, lean, record, text_bytes
 from kinweave.llm.piece import WS, PieceBpe, default_path, piece_bpe
 
 #: Documents whose parts are merged together.
@@ -91,7 +91,7 @@ def _encoded(docs: DataFrame, model_path: str, digest: bool) -> DataFrame:
                         rows.append((ids.tolist(), spans[:, 0].tolist(), spans[:, 1].tolist(), decoded))
                 yield record(schema, batch.column("doc_id"), *([r[k] for r in rows] for k in range(4)))
 
-    return id_text(docs).mapInArrow(run, ddl)
+    return id_text(docs).mapInArrow(lean(run), ddl)
 
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
@@ -107,7 +107,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
                 n = [sum(x) for x in model.look_up(_normal(model, texts)[0], model.count)]
                 yield record(schema, batch.column("doc_id"), [len(t) for t in texts], n, [x > limit for x in n])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return id_text(docs).mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:

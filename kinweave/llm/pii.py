@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from kinweave.llm import words
-from kinweave.llm.common import documents, fresh, id_text, record, text_bytes
+from kinweave.llm.common import documents, fresh, id_text, lean, record, text_bytes
 from kinweave.sources.scratch import scratch_table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -146,7 +146,7 @@ def scan(docs: DataFrame) -> DataFrame:
             n = [[sum(s["kind"] == k for s in own) for own in found] for k in KINDS]
             yield record(schema, batch.column("doc_id"), keys, *n, found, close)
 
-    return id_text(docs).mapInArrow(run, _FOUND)
+    return id_text(docs).mapInArrow(lean(run), _FOUND)
 
 
 def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
     bare = patterns.select("bare").where("bare LIKE '% %'").distinct()
     field = np.zeros(FIELD // 8, np.uint8)
-    for row in bare.mapInArrow(mark, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
+    for row in bare.mapInArrow(lean(mark), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
         field[row["at"]] = row["bits"]
     shared = spark.sparkContext.broadcast(field.tobytes())
 
@@ -184,7 +184,7 @@ def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
                         seen[own[i] + b" " + own[i + 1]] += 1
             yield record(schema, [k.decode() for k in seen], list(seen.values()))
 
-    return id_text(docs).mapInArrow(count, "pattern string, n long").groupBy(F.col("pattern").alias("bare")).agg(F.sum("n").alias("total"))
+    return id_text(docs).mapInArrow(lean(count), "pattern string, n long").groupBy(F.col("pattern").alias("bare")).agg(F.sum("n").alias("total"))
 
 
 def _bare(pattern):
@@ -259,7 +259,7 @@ def redact(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDEN
             columns = [pa.array(texts, batch.schema.field("text").type) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return source.mapInArrow(run, docs.schema)
+    return source.mapInArrow(lean(run), docs.schema)
 
 
 def _replaced(text: str, spans: list[dict]) -> str:

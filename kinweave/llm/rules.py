@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kinweave.llm.common import documents, record, text_bytes
+from kinweave.llm.common import documents, lean, record, text_bytes
 from kinweave.sources.scratch import scratch_table
 
 import numpy as np
@@ -88,7 +88,7 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept, *columns], names=[*keep, *COUNTS])
 
     ddl = ", ".join([*(f"`{c}` {t}" for c, t in source.drop("_text").dtypes), *(f"{c} long" for c in COUNTS)])
-    return source.mapInArrow(run, ddl)
+    return source.mapInArrow(lean(run), ddl)
 
 
 def base_failed() -> Column:
@@ -187,8 +187,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     The counts are made again beside each text once the cutoffs are known, so
     that no text is shuffled.
     """
-    lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    cutoffs = learn_cutoffs(scratch_table(measure(lean, ["doc_id", "lang"]), "quality"), labels)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    cutoffs = learn_cutoffs(scratch_table(measure(slim, ["doc_id", "lang"]), "quality"), labels)
     names = docs.columns
     limits = {stratum: {r: k for (s, r), k in cutoffs.items() if s == stratum} for stratum, _ in cutoffs}
 
@@ -203,7 +203,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             langs = batch.column("lang").cast(pa.string()).to_pylist()
             yield batch.filter(pa.array([good(t, x) for t, x in zip(text_bytes(batch), langs)], pa.bool_()))
 
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    return docs.select(*names).mapInArrow(lean(run), docs.schema)
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kinweave.llm.common import documents, fresh, id_text, record, text_bytes
+from kinweave.llm.common import documents, fresh, id_text, lean, record, text_bytes
 from kinweave.operators.components import connected_components
 from kinweave.sources.scratch import scratch_table
 
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             fp = np.array([simhash64(t, width) for t in text_bytes(batch)], np.uint64).view(np.int64)
             yield record(schema, batch.column("doc_id"), pa.array(fp))
 
-    return id_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return id_text(docs).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def _table_rows(reps: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def _table_rows(reps: DataFrame) -> DataFrame:
                 index = np.concatenate(who)
                 yield record(schema, np.concatenate(keys).view(np.int64), fp[index].view(np.int64), rep[index])
 
-    return reps.mapInArrow(run, "key long, fp long, rep long")
+    return reps.mapInArrow(lean(run), "key long, fp long, rep long")
 
 
 def _forest(fp: np.ndarray, rep: np.ndarray, radius: int, src: list, dst: list) -> None:
@@ -164,7 +164,7 @@ def _match_keys(rows: DataFrame, radius: int, limit: int) -> DataFrame:
         if len(key):
             yield links(fp, rep, np.array([0, len(key)]))
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "src long, dst long, fp long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), "src long, dst long, fp long")
 
 
 def _ball_links(crowded: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def _ball_links(crowded: DataFrame) -> DataFrame:
                 yield record(schema, (fp[:, None] ^ ball).ravel().view(np.int64), np.repeat(rep, len(ball)))
 
     low = F.min("rep").over(Window.partitionBy("near"))
-    return crowded.select("fp", "src").distinct().mapInArrow(run, "near long, rep long").select(F.col("rep").alias("src"), low.alias("dst")).where("src <> dst")
+    return crowded.select("fp", "src").distinct().mapInArrow(lean(run), "near long, rep long").select(F.col("rep").alias("src"), low.alias("dst")).where("src <> dst")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinweave.llm.bytebpe import byte_bpe, default_path
-from kinweave.llm.common import documents, id_text, record, text_bytes
+from kinweave.llm.common import documents, id_text, lean, record, text_bytes
 from kinweave.sources.scratch import scratch_path
 
 MAGIC = b"KWTF0001"
@@ -160,7 +160,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
             yield flush()
 
     ordered = id_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, "part long, image long, local_start long, n_ids long, payload binary").write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(lean(run), "part long, image long, local_start long, n_ids long, payload binary").write.option("compression", "none").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -187,7 +187,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         base.append((row["part"], before))
         before += row["n"]
     bases = spark.createDataFrame(base, "part long, base long")
-    found = images.select("part", "local_start", "payload").mapInArrow(run, "part long, doc_id long, local_start long, n_tokens long, ids_crc32 long")
+    found = images.select("part", "local_start", "payload").mapInArrow(lean(run), "part long, doc_id long, local_start long, n_tokens long, ids_crc32 long")
     return found.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from kinweave.llm.common import documents, id_text, record, text_bytes
+from kinweave.llm.common import documents, id_text, lean, record, text_bytes
 
 SAMPLE, SAMPLE_BYTES = 2000, 64 << 10
 DICTIONARY, LEVEL = 64 << 10, 3
@@ -127,7 +127,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield record(schema, batch.column("doc_id"), model.score(text_bytes(batch)))
 
-    found = id_text(docs).mapInArrow(run, "doc_id long, score double")
+    found = id_text(docs).mapInArrow(lean(run), "doc_id long, score double")
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
