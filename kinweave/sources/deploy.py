@@ -1,4 +1,9 @@
-"""Send this package to the executors, for functions that run in Python there."""
+"""Send this package to the executors, for functions that run in Python there.
+
+Texts may be long, so Arrow batches are held to ``ARROW_ROWS`` rows where the
+session has Spark's default: a batch is in memory several times, in the JVM and
+in the worker.
+"""
 
 from __future__ import annotations
 
@@ -10,11 +15,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SENT: set[str] = set()
+ARROW_KEY, ARROW_DEFAULT, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1024"
 
 
 def ship(spark: SparkSession) -> None:
     """Add the package to the application's Python files, once an application."""
     context = spark.sparkContext
+    if spark.conf.get(ARROW_KEY) == ARROW_DEFAULT:
+        spark.conf.set(ARROW_KEY, ARROW_ROWS)
     if context.applicationId in _SENT:
         return
     root = Path(__file__).resolve().parents[1]
