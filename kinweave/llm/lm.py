@@ -44,7 +44,7 @@ HOT = 100_000
 MU = 4.0
 ALPHA = 0.1
 #: Bytes of text that a slice of the counts is meant for, distinct n-grams that a task holds, documents scored together.
-SLICE_BYTES, HELD, GROUP = 8 << 20, 1 << 20, 128
+SLICE_BYTES, HELD, GROUP = 8 << 20, 1 << 18, 128
 _BEGIN, _END = np.array([0x243F6A8885A308D3, 0x13198A2E03707344], np.uint64)
 _ONE = np.uint64(1)
 
@@ -112,8 +112,8 @@ def _by_slice(h: np.ndarray, n: np.ndarray, slices: int) -> Iterator[pa.RecordBa
     h, n, where = h[order], n[order], where[order]
     cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(h) else np.zeros(0, np.int64)
     ends = np.append(cut[1:], len(h))
-    for at in range(0, len(cut), 256):
-        part = list(zip(cut[at : at + 256].tolist(), ends[at : at + 256].tolist()))
+    for at in range(0, len(cut), 32):
+        part = list(zip(cut[at : at + 32].tolist(), ends[at : at + 32].tolist()))
         yield record(_COUNTS, [int(where[a]) for a, _ in part], [h[a:b].astype("<u8").tobytes() for a, b in part], [_pack(n[a:b]) for a, b in part])
 
 

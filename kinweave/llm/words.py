@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-CACHE = 500_000
+CACHE = 200_000
 _KNOWN: dict[bytes, int] = {}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
