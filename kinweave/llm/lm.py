@@ -122,7 +122,7 @@ def _count(train: DataFrame, order: int, slices: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
+        held, most = 0, HELD if order == 2 else 2 * HELD
         for big in batches:
             for at in range(0, big.num_rows, GROUP):
                 h, size = _tokens(text_bytes(big.slice(at, GROUP)))
@@ -130,10 +130,10 @@ def _count(train: DataFrame, order: int, slices: int) -> DataFrame:
                     h, _ = _bigrams(h, size)
                 parts.append(_summed(h))
                 held += len(parts[-1][0])
-                if held >= HELD:
+                if held >= most:
                     parts = [_summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
                     held = len(parts[0][0])
-                    if held >= HELD // 2:
+                    if held >= most // 2:
                         yield from _by_slice(*parts[0], slices)
                         parts, held = [], 0
         if parts:
