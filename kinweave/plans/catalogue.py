@@ -611,8 +611,10 @@ k AS (SELECT cutoff, t.source1_entity_id, count(*) AS gold,
 n AS (SELECT cutoff, count(*) AS total, count(*) FILTER (WHERE cutoff IS NULL OR tree_score >= cutoff) AS kept FROM cuts CROSS JOIN routed WHERE decision_route = 'neural_fusion' GROUP BY 1),
 g AS (SELECT cutoff, CAST(sum(gold) AS BIGINT) AS gold_edge_count, CAST(sum(kept) AS BIGINT) AS survived_gold_edge_count, avg(kept / gold::DOUBLE) AS macro, count(*) FILTER (WHERE kept = gold) AS full_recall_s1,
              count(*) FILTER (WHERE kept > 0 AND kept < gold) AS partial_miss_s1, count(*) FILTER (WHERE kept = 0) AS zero_recall_s1 FROM k GROUP BY 1)
-SELECT g.cutoff, gold_edge_count, survived_gold_edge_count, round(macro, 6) AS macro_oracle_recall, full_recall_s1, partial_miss_s1, zero_recall_s1, n.total AS neural_rows_total, n.kept AS neural_rows_kept,
-       round(survived_gold_edge_count / gold_edge_count::DOUBLE, 6) AS micro_oracle_recall, round(n.kept / n.total::DOUBLE, 6) AS neural_retained_fraction FROM g JOIN n ON g.cutoff IS NOT DISTINCT FROM n.cutoff"""))
+SELECT c.cutoff, coalesce(gold_edge_count, 0) AS gold_edge_count, coalesce(survived_gold_edge_count, 0) AS survived_gold_edge_count, round(macro, 6) AS macro_oracle_recall, coalesce(full_recall_s1, 0) AS full_recall_s1,
+       coalesce(partial_miss_s1, 0) AS partial_miss_s1, coalesce(zero_recall_s1, 0) AS zero_recall_s1, coalesce(n.total, 0) AS neural_rows_total, coalesce(n.kept, 0) AS neural_rows_kept,
+       round(survived_gold_edge_count / gold_edge_count::DOUBLE, 6) AS micro_oracle_recall, round(coalesce(n.kept / n.total::DOUBLE, 0), 6) AS neural_retained_fraction
+FROM cuts c LEFT JOIN g ON c.cutoff IS NOT DISTINCT FROM g.cutoff LEFT JOIN n ON c.cutoff IS NOT DISTINCT FROM n.cutoff"""))
 def gate_audit_cutoffs(spark, d):
     return metrics.gate_audit(V.routed(spark, d), V.truth(spark, d), (0.82, 0.9, 0.95))
 
