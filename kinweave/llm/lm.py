@@ -7,11 +7,11 @@ strings and no row for each n-gram. A slice's task merges its share exactly.
 Filter. A count c has the level 1 + floor(log2 c); an n-gram is stored once for
 each of its levels, so a reader probes level after level until the first miss
 and has the quantised count (Talbot and Osborne, 2007). All bits of an n-gram
-and level lie in one 64-bit word. A slice of the filter has a fixed number of
-words. A slice that would hold more than ``LOAD`` entries a word leaves out the
-lowest level, and the next, until it fits: the filter has a proven size bound
-(``FILTER_BYTES``) at which rare n-grams, not frequent ones, lose their counts;
-counting itself covers all documents. Readers know each slice's lowest level.
+and level lie in one 64-bit word. Each slice of the filter has a word for every
+``LOAD`` entries, so no level is left out however large the corpus is. The filter
+isn't sent to readers: the distinct n-grams of a batch of documents are looked
+up by the slice that holds them, in packed rows, and their levels meet the batch
+again.
 
 Model. P(w | v) = (c(v w) + MU * P0(w)) / (c(v) + MU) over the filter's counts,
 with P0 the add-0.1 unigram estimate from the filter.
@@ -38,7 +38,6 @@ from kinweave.llm import words
 from kinweave.llm.common import documents, id_text, lean, record, text_bytes, trim
 from kinweave.sources.scratch import scratch_table
 
-FILTER_BYTES = 64 << 20
 LOAD, BITS = 8, 4
 HOT = 100_000
 MU = 4.0
@@ -188,6 +187,11 @@ def build_slice(h: np.ndarray, n: np.ndarray, width: int) -> tuple[int, bytes]:
     return lowest, out.astype("<u8").tobytes()
 
 
+def _middle(level: np.ndarray) -> np.ndarray:
+    """The middle of the counts at a level, 0 at level 0."""
+    return np.where(level > 0, np.where(level == 1, 1.0, 1.5 * 2.0 ** (level - 1)), 0.0)
+
+
 class LogFrequencyFilter:
     """Quantised counts by repeated membership probes."""
 
@@ -210,39 +214,63 @@ class LogFrequencyFilter:
             found[live] = level[live]
             level[live] += 1
             live = live[level[live] < 63]
-        return np.where(found > 0, np.where(found == 1, 1.0, 1.5 * 2.0 ** (found - 1)), 0.0)
+        return _middle(found)
 
 
-def build_filter(train: DataFrame, unigrams: DataFrame, slices: int, volume: int) -> tuple[int, bytes, bytes]:
-    """``width, lowest, table``; at most ``FILTER_BYTES``, fewer for little text."""
-    total = min(FILTER_BYTES // 8, max(1 << 14, volume // 12))
-    width = max(64, total // slices)
+def build_filter(train: DataFrame, unigrams: DataFrame, slices: int) -> DataFrame:
+    """``slice, lowest, words``: a row for each slice, as wide as its entries need."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        lowest, table = build_slice(*_merge(rows), width)
+        h, n = _merge(rows)
+        entries = int(np.frexp(n.astype(np.float64))[1].sum())
+        lowest, table = build_slice(h, n, max(64, int(-(-entries // LOAD))))
         trim()
         return pd.DataFrame({"slice": [key[0]], "lowest": [lowest], "words": [table]})
 
     rows = unigrams.select("slice", "hashes", "counts").union(_count(train, 2, slices))
-    lowest = np.ones(slices, np.uint8)
-    table = np.zeros(slices * width, "<u8")
-    for row in scratch_table(rows.groupBy("slice").applyInPandas(run, "slice int, lowest int, words binary"), "lm-filter").toLocalIterator():
-        lowest[row["slice"]] = row["lowest"]
-        table[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["words"], "<u8")
-    return width, lowest.tobytes(), table.tobytes()
+    return scratch_table(rows.groupBy("slice").applyInPandas(run, "slice int, lowest int, words binary"), "lm-filter")
+
+
+def _asked(one_h: np.ndarray, two: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a batch by slice, and the slices."""
+    h = np.unique(np.concatenate([one_h, two]))
+    where = _slice_of(h, slices)
+    order = np.argsort(where, kind="stable")
+    return h[order], where[order]
 
 
-_SCORED = "batch long, slice int, doc_ids binary, sizes binary, scores binary, part_sum binary, part_known binary, rows binary, hashes binary, times binary"
+def _edges(where: np.ndarray) -> list[tuple[int, int]]:
+    cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(where) else np.zeros(0, np.int64)
+    return list(zip(cut.tolist(), np.append(cut[1:], len(where)).tolist()))
+
+
+def _model(one_h: np.ndarray, one_at: np.ndarray, size: np.ndarray, parts: dict[int, np.ndarray], slices: int, denominator: float) -> np.ndarray:
+    """The documents' scores from the counts that came back from each slice."""
+    h = one_h[one_at]
+    two, before = _bigrams(h, size)
+    asked, where = _asked(one_h, two, slices)
+    n = np.concatenate([parts[int(where[a])] for a, _ in _edges(where)])
+    order = np.argsort(asked)
+    asked, n = asked[order], n[order]
+    one_n = n[np.searchsorted(asked, one_h)]
+    c_two = n[np.searchsorted(asked, two)]
+    c_word = one_n[one_at]
+    # a text's first token follows as many texts as there are ends
+    c_before = np.maximum(one_n[np.searchsorted(one_h, np.where(before == _BEGIN, _END, before))], c_two)
+    p = np.minimum(1.0, (c_two + MU * (c_word + ALPHA) / denominator) / (c_before + MU))
+    return np.bincount(np.repeat(np.arange(len(size)), size), np.log10(p), len(size))
+
+
+_SCORED = "batch long, slice int, doc_ids binary, sizes binary, words binary, tokens binary, part_sum binary, part_known binary, rows binary, hashes binary, times binary"
 
 
 def _scan(docs: DataFrame, shared, slices: int, n_tokens: int, n_types: int) -> DataFrame:
-    """Packed rows of a batch: one with its documents (slice -1), and its cold words by slice."""
-    schema = pa.schema([("batch", pa.int64()), ("slice", pa.int32()), *((k, pa.binary()) for k in ("doc_ids", "sizes", "scores", "part_sum", "part_known", "rows", "hashes", "times"))])
+    """Packed rows of a batch: one with its documents (slice -1), its cold words by slice, and its n-grams by slice (no ``rows``)."""
+    schema = pa.schema([("batch", pa.int64()), ("slice", pa.int32()), *((k, pa.binary()) for k in ("doc_ids", "sizes", "words", "tokens", "part_sum", "part_known", "rows", "hashes", "times"))])
     denominator = n_tokens + ALPHA * (n_types + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width, lowest, table, hot_hash, hot_count = shared.value
-        counts = LogFrequencyFilter(slices, width, lowest, table)
+        hot_hash, hot_count = shared.value
         hot, hot_n = np.frombuffer(hot_hash, "<u8"), np.frombuffer(hot_count, "<i8")
         batch_id = TaskContext.get().partitionId() << 32
         for big in batches:
@@ -250,19 +278,8 @@ def _scan(docs: DataFrame, shared, slices: int, n_tokens: int, n_types: int) ->
                 group = big.slice(at, 8 * GROUP)
                 h, size = _tokens(text_bytes(group))
                 doc = np.repeat(np.arange(group.num_rows), size)
-                two, before = _bigrams(h, size)
-                # the model, on the distinct n-grams of the group
+                two, _ = _bigrams(h, size)
                 one_h, one_at = np.unique(h, return_inverse=True)
-                one_n = counts.counts(one_h)
-                two_h, two_at = np.unique(two, return_inverse=True)
-                c_two = counts.counts(two_h)[two_at]
-                c_word = one_n[one_at]
-                # a text's first token follows as many texts as there are ends
-                before_at = np.searchsorted(one_h, np.where(before == _BEGIN, _END, before))
-                c_before = one_n[before_at]
-                c_before = np.maximum(c_before, c_two)
-                p = np.minimum(1.0, (c_two + MU * (c_word + ALPHA) / denominator) / (c_before + MU))
-                score = np.bincount(doc, np.log10(p), group.num_rows)
                 # the base: distinct words of each document
                 order = np.lexsort((h, doc))
                 dh, dd = h[order], doc[order]
@@ -278,17 +295,18 @@ def _scan(docs: DataFrame, shared, slices: int, n_tokens: int, n_types: int) ->
                 one = pa.RecordBatch.from_arrays([ids], names=["doc_id"])
                 with pa.ipc.new_stream(sink, one.schema) as w:
                     w.write_batch(one)
-                yield record(schema, [batch_id], [-1], [sink.getvalue().to_pybytes()], [size.astype("<i8").tobytes()], [score.astype("<f8").tobytes()], [part.astype("<f8").tobytes()], [known.tobytes()], *([None],) * 3)
+                yield record(schema, [batch_id], [-1], [sink.getvalue().to_pybytes()], [size.astype("<i8").tobytes()], [one_h.astype("<u8").tobytes()], [_pack(one_at)], [part.astype("<f8").tobytes()], [known.tobytes()], *([None],) * 3)
                 dh, dd, times = dh[~warm], dd[~warm], times[~warm]
                 where = _slice_of(dh, slices)
                 order = np.argsort(where, kind="stable")
                 dh, dd, times, where = dh[order], dd[order], times[order], where[order]
-                cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(dh) else np.zeros(0, np.int64)
-                ends = np.append(cut[1:], len(dh))
-                none = [None] * len(cut)
-                spans = list(zip(cut.tolist(), ends.tolist()))
-                if spans:
-                    yield record(schema, [batch_id] * len(cut), [int(where[a]) for a in cut], none, none, none, none, none, [dd[a:b].astype("<u2").tobytes() for a, b in spans], [dh[a:b].astype("<u8").tobytes() for a, b in spans], [_pack(times[a:b]) for a, b in spans])
+                if spans := _edges(where):
+                    none = [None] * len(spans)
+                    yield record(schema, [batch_id] * len(spans), [int(where[a]) for a, _ in spans], *[none] * 6, [dd[a:b].astype("<u2").tobytes() for a, b in spans], [dh[a:b].astype("<u8").tobytes() for a, b in spans], [_pack(times[a:b]) for a, b in spans])
+                own, where = _asked(one_h, two, slices)
+                spans = _edges(where)
+                none = [None] * len(spans)
+                yield record(schema, [batch_id] * len(spans), [int(where[a]) for a, _ in spans], *[none] * 7, [own[a:b].astype("<u8").tobytes() for a, b in spans], none)
                 batch_id += 1
 
     return docs.mapInArrow(lean(run), _SCORED)
@@ -323,8 +341,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     hot = rows["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hot)
     hot, hot_n = hot[order], rows["n"].to_numpy(np.int64)[order]
-    width, lowest, table = build_filter(train, unigrams, slices, volume)
-    shared = spark.sparkContext.broadcast((width, lowest, table, hot.astype("<u8").tobytes(), hot_n.astype("<i8").tobytes()))
+    table = build_filter(train, unigrams, slices)
+    shared = spark.sparkContext.broadcast((hot.astype("<u8").tobytes(), hot_n.astype("<i8").tobytes()))
     scanned = scratch_table(_scan(source, shared, slices, n_tokens, n_types), "lm-scan")
     denominator = n_tokens + ALPHA * (n_types + 1)
 
@@ -343,24 +361,34 @@ def score_documents(docs: DataFrame) -> DataFrame:
             out.append((batch, which.astype("<u2").tobytes(), total.astype("<f8").tobytes(), seen.tobytes()))
         return pd.DataFrame(out, columns=["batch", "rows", "sums", "seen"])
 
-    cold = scanned.where("slice >= 0").select("batch", "slice", "rows", "hashes", "times")
+    cold = scanned.where("rows IS NOT NULL").select("batch", "slice", "rows", "hashes", "times")
     looked = cold.groupBy("slice").cogroup(unigrams.select("slice", "hashes", "counts").groupBy("slice")).applyInPandas(look_up, "batch long, rows binary, sums binary, seen binary")
 
+    def probe(key: tuple, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        words_of = known["words"][0] if len(known) else bytes(8)
+        counts = LogFrequencyFilter(1, len(words_of) // 8, bytes([known["lowest"][0] if len(known) else 1]), words_of)
+        levels = [np.frexp(counts.counts(np.frombuffer(hb, "<u8")))[1].astype(np.uint8).tobytes() for hb in asked["hashes"]]
+        return pd.DataFrame({"batch": asked["batch"], "slice": asked["slice"], "levels": levels})
+
+    grams = scanned.where("slice >= 0 AND rows IS NULL").select("batch", "slice", "hashes")
+    probed = grams.groupBy("slice").cogroup(table.groupBy("slice")).applyInPandas(probe, "batch long, slice int, levels binary")
+
     def finish(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         own = rows[rows["doc_ids"].notna()].iloc[0]
         ids = pa.ipc.open_stream(own["doc_ids"]).read_all().column("doc_id").to_pandas().astype("Int64")
-        size, score = np.frombuffer(own["sizes"], "<i8"), np.frombuffer(own["scores"], "<f8")
+        size = np.frombuffer(own["sizes"], "<i8")
+        found = rows[rows["levels"].notna()]
+        parts = {int(k): _middle(np.frombuffer(x, np.uint8).astype(np.int64)) for k, x in zip(found["slice"], found["levels"])}
+        score = _model(np.frombuffer(own["words"], "<u8"), _unpack(own["tokens"]), size, parts, slices, denominator)
         base, known = np.frombuffer(own["part_sum"], "<f8").copy(), np.frombuffer(own["part_known"], "<i8").copy()
-        for rb, sb, kb in zip(*(rows[c][rows["doc_ids"].isna()] for c in ("rows", "sums", "seen"))):
+        for rb, sb, kb in zip(*(rows[c][rows["rows"].notna()] for c in ("rows", "sums", "seen"))):
             at = np.frombuffer(rb, "<u2")
             base[at] += np.frombuffer(sb, "<f8")
             known[at] += np.frombuffer(kb, "<u4")
         return pd.DataFrame({"doc_id": ids, "n_tokens": size, "n_known": known, "train_tokens": n_tokens, "base_score": base, "score": score})
 
-    none = F.lit(None).cast("binary")
-    heads = scanned.where("slice = -1").select("batch", "doc_ids", "sizes", "scores", "part_sum", "part_known", none.alias("rows"), none.alias("sums"), none.alias("seen"))
-    parts = looked.select("batch", *(none.alias(c) for c in ("doc_ids", "sizes", "scores", "part_sum", "part_known")), "rows", "sums", "seen")
-    scored = heads.unionByName(parts).groupBy("batch").applyInPandas(finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    heads = scanned.where("slice = -1").select("batch", "doc_ids", "sizes", "words", "tokens", "part_sum", "part_known")
+    scored = heads.unionByName(looked, allowMissingColumns=True).unionByName(probed, allowMissingColumns=True).groupBy("batch").applyInPandas(finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
