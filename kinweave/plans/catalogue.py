@@ -762,8 +762,7 @@ def out_of_fold_scores(spark, d):
     truth = V.truth(spark, d)
     folds = splits.create_folds(V.source(spark, d, "S1"), truth, V.others(spark, d))
     pairs = sampling.add_folds(context.add_context(V.candidates(spark, d)), folds)
-    config = models.PairModelConfig(iterations=5)
-    return models.out_of_fold(pairs, ["name_tfidf_score", "address_tfidf_score", "retrieval_score_rank"], config).select(*ids.PAIR_KEY, "label", "score")
+    return models.out_of_fold(pairs, contracts.feature_columns(pairs), models.PairModelConfig()).select(*ids.PAIR_KEY, "label", "score")
 
 
 @query("fused_calibrated")
