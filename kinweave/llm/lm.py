@@ -2,50 +2,59 @@
 
 Counting. Each task sums the n-grams of what it reads in numpy and sends one
 packed row for each slice of the hash space, so the engine moves a few byte
-strings and no row for each n-gram. A slice's task merges its share exactly.
+strings and no row for each n-gram. A slice is a range of hashes; its task
+merges its share exactly.
 
 Filter. A count c has the level 1 + floor(log2 c); an n-gram is stored once for
 each of its levels, so a reader probes level after level until the first miss
 and has the quantised count (Talbot and Osborne, 2007). All bits of an n-gram
 and level lie in one 64-bit word. Each slice of the filter has a word for every
-``LOAD`` entries, so no level is left out however large the corpus is. The filter
-isn't sent to readers: the distinct n-grams of a batch of documents are looked
-up by the slice that holds them, in packed rows, and their levels meet the batch
-again.
+``LOAD`` entries, so no level is left out however large the corpus is.
+
+Probing. A filter that holds every level grows with the corpus, so it can't be
+broadcast under a proven bound. It stays where it was built: the distinct
+n-grams of a batch of documents go to the slices that hold them, as packed and
+sorted differences of a few bytes, and their levels come back to the batch. All
+sizes take this one path. Beyond ``FAN`` slices a packed row for each slice would
+be hardly more than an n-gram, so rows then pass through coarse slices, where
+those of many tasks are put together before they're cut finely.
 
 Model. P(w | v) = (c(v w) + MU * P0(w)) / (c(v) + MU) over the filter's counts,
-with P0 the add-0.1 unigram estimate from the filter.
+with P0 the add-0.1 unigram estimate from the filter. Each c is the middle of
+its level, so the P of all words after v don't sum to 1 exactly: the score is
+that of an unnormalised model, as with any quantised counts.
 
-Base. Unigram counts in the base score are exact. Words with at least 1 in
-``HOT`` of all tokens, of which there can't be more than ``HOT``, are sent to all
-workers; every other word of a document is looked up by the slice that counted
-it, in packed rows again, and the parts of a document's sum meet by batch.
-Words are known by XXH64.
+Base. Unigram counts in the base score are exact; they come back with the
+levels. Words are known by a hash of 64 bits and pairs by one of 48, whose
+collisions are far rarer than the filter's false hits.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from kinweave.llm import words
-from kinweave.llm.common import documents, id_text, lean, record, text_bytes, trim
+from kinweave.llm.common import documents, id_text, lean, record, trim
 from kinweave.sources.scratch import scratch_table
 
 LOAD, BITS = 8, 4
-HOT = 100_000
 MU = 4.0
 ALPHA = 0.1
-#: Bytes of text that a slice of the counts is meant for, distinct n-grams that a task holds, documents scored together.
-SLICE_BYTES, HELD, GROUP = 8 << 20, 1 << 18, 128
+#: Bytes of text that a slice is meant for, distinct n-grams that a counting task holds, tokens of documents scored together.
+SLICE_BYTES, HELD, BATCH = 16 << 20, 3 << 20, 3 << 19
+#: Slices that packed rows are cut into at once.
+FAN = 4096
 _BEGIN, _END = np.array([0x243F6A8885A308D3, 0x13198A2E03707344], np.uint64)
 _ONE = np.uint64(1)
+_16, _32 = np.uint64(16), np.uint64(32)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -53,12 +62,10 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(10)) == 0, F.lit(False))
 
 
-def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, each text's end included, and the tokens of each."""
-    own = [t.lower().split() for t in texts]
-    size = np.fromiter(map(len, own), np.int64, len(own))
-    flat = words.hashes(list(chain.from_iterable(own)))
-    out = np.full(len(flat) + len(own), _END)
+    flat, size = words.hashed(texts)
+    out = np.full(len(flat) + len(size), _END)
     inner = np.ones(len(out), bool)
     inner[np.cumsum(size + 1) - 1] = False
     out[inner] = flat
@@ -66,11 +73,11 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bigrams(tokens: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the word pairs that end at each token, and the token before each."""
+    """Hashes (48 bits) of the word pairs that end at each token, and the token before each."""
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     before[np.cumsum(size) - size] = _BEGIN
-    return words.pair(before, tokens), before
+    return words.pair(before, tokens) >> _16, before
 
 
 def _summed(h: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -80,80 +87,119 @@ def _summed(h: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.
     if n is None:
         h = np.sort(h)
     else:
-        order = np.argsort(h, kind="stable")
+        order = np.argsort(h)
         h, n = h[order], n[order]
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     return h[first], np.diff(np.append(first, len(h))) if n is None else np.add.reduceat(n, first)
 
 
-def _slice_of(h: np.ndarray, slices: int) -> np.ndarray:
-    return (words.mix(h) % np.uint64(slices)).astype(np.int64)
+def _slice_of(top: np.ndarray, slices: int) -> np.ndarray:
+    """The slice of each hash, from its highest 32 bits; in the order of the hashes."""
+    return (top * np.uint64(slices) >> _32).astype(np.int64)
+
+
+def _edges(where: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of the runs of equal values."""
+    cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(where) else np.zeros(0, np.int64)
+    return list(zip(cut.tolist(), np.append(cut[1:], len(where)).tolist()))
+
+
+def _spans(where: np.ndarray) -> dict[int, tuple[int, int]]:
+    return {int(where[a]): (a, b) for a, b in _edges(where)}
 
 
 def _pack(n: np.ndarray) -> bytes:
-    """Counts in the fewest bytes that hold the largest."""
-    kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if not len(n) or int(n.max()) < 1 << 8 * np.dtype(k).itemsize)
-    return kind[-1].encode() + n.astype(kind).tobytes()
+    """Numbers in the fewest bytes that hold the largest, the bytes of a place together and compressed."""
+    width = max(1, -(-int(n.max(initial=0)).bit_length() // 8))
+    planes = n.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, f"<u{blob[:1].decode()}", offset=1).astype(np.int64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), np.uint8).reshape(blob[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : blob[0]] = planes.T
+    return out.view("<u8").ravel().astype(np.int64)
+
+
+def _pack_sorted(h: np.ndarray) -> bytes:
+    """Hashes in ascending order by their differences."""
+    return struct.pack("<Q", int(h[0])) + _pack(np.diff(h)) if len(h) else b""
+
+
+def _unpack_sorted(blob: bytes) -> np.ndarray:
+    if not blob:
+        return np.zeros(0, np.uint64)
+    steps = np.concatenate([np.frombuffer(blob, "<u8", 1), _unpack(blob[8:]).view(np.uint64)])
+    return np.cumsum(steps, dtype=np.uint64)
+
+
+_COUNTS = pa.schema([("slice", pa.int64()), ("kind", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+_COUNTS_DDL = "slice long, kind int, hashes binary, counts binary"
+
 
+def _top(h: np.ndarray, kind: int) -> np.ndarray:
+    return h >> (_32 if kind == 1 else _16)
 
-_COUNTS = pa.schema([("slice", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
-_COUNTS_DDL = "slice int, hashes binary, counts binary"
 
+def _by_slice(kind: int, h: np.ndarray, n: np.ndarray, slices: int) -> Iterator[pa.RecordBatch]:
+    """Packed rows of words (kind 1) or pairs (kind 2), one for each slice that has a part."""
+    where = _slice_of(_top(h, kind), slices)
+    spans = _edges(where)
+    for at in range(0, len(spans), 64):
+        part = spans[at : at + 64]
+        yield record(_COUNTS, [int(where[a]) for a, _ in part], [kind] * len(part), [_pack_sorted(h[a:b]) for a, b in part], [_pack(n[a:b]) for a, b in part])
 
-def _by_slice(h: np.ndarray, n: np.ndarray, slices: int) -> Iterator[pa.RecordBatch]:
-    """Packed rows, one for each slice that has a part."""
-    where = _slice_of(h, slices)
-    order = np.argsort(where, kind="stable")
-    h, n, where = h[order], n[order], where[order]
-    cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(h) else np.zeros(0, np.int64)
-    ends = np.append(cut[1:], len(h))
-    for at in range(0, len(cut), 32):
-        part = list(zip(cut[at : at + 32].tolist(), ends[at : at + 32].tolist()))
-        yield record(_COUNTS, [int(where[a]) for a, _ in part], [h[a:b].astype("<u8").tobytes() for a, b in part], [_pack(n[a:b]) for a, b in part])
 
+class _Sums:
+    """Counts of one kind that a task holds."""
 
-def _count(train: DataFrame, order: int, slices: int) -> DataFrame:
-    """Partial counts of the n-grams of an order, packed by slice."""
+    def __init__(self, kind: int, slices: int):
+        self.kind, self.slices, self.parts, self.held = kind, slices, [], 0
+
+    def add(self, h: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append((h, n))
+        self.held += len(h)
+        if self.held >= HELD:
+            yield from self.end()
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            parts, self.parts, self.held = self.parts, [], 0
+            yield from _by_slice(self.kind, *_summed(*(np.concatenate(x) for x in zip(*parts))), self.slices)
+
+
+def _refined(rows: DataFrame, slices: int) -> DataFrame:
+    """Rows by coarse slice cut into fine ones, those of many tasks put together first."""
+    coarse = rows.withColumn("salt", F.pmod(F.xxhash64("hashes"), F.lit(64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        held, most = 0, HELD if order == 2 else 2 * HELD
-        for big in batches:
-            for at in range(0, big.num_rows, GROUP):
-                h, size = _tokens(text_bytes(big.slice(at, GROUP)))
-                if order == 2:
-                    h, _ = _bigrams(h, size)
-                parts.append(_summed(h))
-                held += len(parts[-1][0])
-                if held >= most:
-                    parts = [_summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
-                    held = len(parts[0][0])
-                    if held >= most // 2:
-                        yield from _by_slice(*parts[0], slices)
-                        parts, held = [], 0
-        if parts:
-            yield from _by_slice(*_summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])), slices)
-
-    return train.select("text").mapInArrow(lean(run), _COUNTS_DDL)
-
-
-def _merge(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return _summed(np.concatenate([np.frombuffer(b, "<u8") for b in rows["hashes"]]), np.concatenate([_unpack(b) for b in rows["counts"]]))
-
-
-def count_words(train: DataFrame, slices: int) -> DataFrame:
-    """``slice, hashes, counts, n_types, n_tokens``: exact unigram counts, a row for each slice."""
+        sums = {k: _Sums(k, slices) for k in (1, 2)}
+        for batch in batches:
+            for kind, hb, nb in zip(*(batch.column(c).to_pylist() for c in ("kind", "hashes", "counts"))):
+                yield from sums[kind].add(_unpack_sorted(hb), _unpack(nb))
+        for s in sums.values():
+            yield from s.end()
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        h, n = _merge(rows)
-        trim()
-        return pd.DataFrame({"slice": [key[0]], "hashes": [h.astype("<u8").tobytes()], "counts": [_pack(n)], "n_types": [len(h)], "n_tokens": [int(n.sum())]})
+    return coarse.repartition("slice", "salt").sortWithinPartitions("slice").drop("salt").mapInArrow(lean(run), _COUNTS_DDL)
 
-    return _count(train, 1, slices).groupBy("slice").applyInPandas(run, f"{_COUNTS_DDL}, n_types long, n_tokens long")
+
+def _count(train: DataFrame, slices: int) -> DataFrame:
+    """Partial counts of words and pairs, packed by slice."""
+    coarse = min(slices, FAN)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two = _Sums(1, coarse), _Sums(2, coarse)
+        for batch in batches:
+            for _, part in words.chunks(batch.column("text")):
+                h, size = _tokens(part)
+                yield from one.add(*_summed(h))
+                yield from two.add(*_summed(_bigrams(h, size)[0]))
+        yield from one.end()
+        yield from two.end()
+
+    rows = train.select("text").mapInArrow(lean(run), _COUNTS_DDL)
+    return rows if coarse == slices else _refined(rows, slices)
 
 
 def _spot(h: np.ndarray, level: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,153 +209,173 @@ def _spot(h: np.ndarray, level: np.ndarray, width: int) -> tuple[np.ndarray, np.
     mask = np.zeros(len(x), np.uint64)
     for k in range(BITS):
         mask |= _ONE << ((x >> np.uint64(6 * k)) & np.uint64(63))
-    return ((x >> np.uint64(32)) * np.uint64(width) >> np.uint64(32)).astype(np.int64), mask
-
-
-def build_slice(h: np.ndarray, n: np.ndarray, width: int) -> tuple[int, bytes]:
-    """The lowest level that a slice stores and its words."""
-    level = np.frexp(n.astype(np.float64))[1].astype(np.int64)
-    top = int(level.max(initial=1))
-    have = np.bincount(level, minlength=top + 1)
-    reach = np.cumsum(have[::-1])[::-1]  # entries of each level: n-grams that reach it
-    lowest = 1
-    while lowest < top and int(reach[lowest:].sum()) > LOAD * width:
-        lowest += 1
-    out = np.zeros(width, np.uint64)
-    for j in range(lowest, top + 1):
-        own = h[level >= j]
-        at, mask = _spot(own, np.full(len(own), j), width)
-        order = np.argsort(at)
-        at, mask = at[order], mask[order]
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
-        if len(first):
-            out[at[first]] |= np.bitwise_or.reduceat(mask, first)
-    return lowest, out.astype("<u8").tobytes()
+    return ((x >> _32) * np.uint64(width) >> _32).astype(np.int64), mask
 
 
-def _middle(level: np.ndarray) -> np.ndarray:
-    """The middle of the counts at a level, 0 at level 0."""
-    return np.where(level > 0, np.where(level == 1, 1.0, 1.5 * 2.0 ** (level - 1)), 0.0)
+def _levels(n: np.ndarray) -> np.ndarray:
+    return np.frexp(n.astype(np.float64))[1].astype(np.int64)
 
 
-class LogFrequencyFilter:
-    """Quantised counts by repeated membership probes."""
+def build_slice(h: np.ndarray, n: np.ndarray, load: float = LOAD) -> bytes:
+    """The words of a filter that stores every level of each n-gram."""
+    level = _levels(n)
+    out = np.zeros(max(64, int(-(-int(level.sum()) // load))), np.uint64)
+    for j in range(1, int(level.max(initial=0)) + 1):
+        own = h[level >= j]
+        at, mask = _spot(own, np.full(len(own), j), len(out))
+        np.bitwise_or.at(out, at, mask)
+    return out.astype("<u8").tobytes()
+
 
-    def __init__(self, slices: int, width: int, lowest: bytes, table: bytes):
-        self.slices, self.width = slices, width
-        self.lowest = np.frombuffer(lowest, np.uint8).astype(np.int64)
-        self.table = np.frombuffer(table, "<u8")
+def probed(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The level of each n-gram: the last hit before the first miss, 0 if the first is a miss."""
+    found, level = np.zeros(len(h), np.int64), np.ones(len(h), np.int64)
+    live = np.arange(len(h))
+    while len(live):
+        at, mask = _spot(h[live], level[live], len(table))
+        live = live[(table[at] & mask) == mask]
+        found[live] = level[live]
+        level[live] += 1
+        live = live[level[live] < 63]
+    return found
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """The middle of the count's range at its level, 0 if no level is found."""
-        where = _slice_of(h, self.slices)
-        level = self.lowest[where]
-        base = where * self.width
-        found = np.zeros(len(h), np.int64)
-        live = np.arange(len(h))
-        while len(live):
-            at, mask = _spot(h[live], level[live], self.width)
-            hit = (self.table[base[live] + at] & mask) == mask
-            live = live[hit]
-            found[live] = level[live]
-            level[live] += 1
-            live = live[level[live] < 63]
-        return _middle(found)
+
+def _middle(level: np.ndarray) -> np.ndarray:
+    """The middle of the counts at a level, 0 at level 0."""
+    return np.where(level > 0, np.where(level == 1, 1.0, 1.5 * 2.0 ** (level - 1.0)), 0.0)
 
 
-def build_filter(train: DataFrame, unigrams: DataFrame, slices: int) -> DataFrame:
-    """``slice, lowest, words``: a row for each slice, as wide as its entries need."""
+def learn(train: DataFrame, slices: int) -> DataFrame:
+    """``slice, hashes, counts, n_types, n_tokens, words``: exact word counts and the filter, a row for each slice."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        h, n = _merge(rows)
-        entries = int(np.frexp(n.astype(np.float64))[1].sum())
-        lowest, table = build_slice(h, n, max(64, int(-(-entries // LOAD))))
+        both = []
+        for kind in (1, 2):
+            own = rows[rows["kind"] == kind]
+            both.append(_summed(np.concatenate([np.zeros(0, np.uint64), *map(_unpack_sorted, own["hashes"])]), np.concatenate([np.zeros(0, np.int64), *map(_unpack, own["counts"])])))
+        (h, n), two = both
+        table = build_slice(np.concatenate([h >> _16, two[0]]), np.concatenate([n, two[1]]), LOAD)
         trim()
-        return pd.DataFrame({"slice": [key[0]], "lowest": [lowest], "words": [table]})
+        return pd.DataFrame({"slice": [key[0]], "hashes": [_pack_sorted(h)], "counts": [_pack(n)], "n_types": [len(h)], "n_tokens": [int(n.sum())], "words": [table]})
 
-    rows = unigrams.select("slice", "hashes", "counts").union(_count(train, 2, slices))
-    return scratch_table(rows.groupBy("slice").applyInPandas(run, "slice int, lowest int, words binary"), "lm-filter")
+    grouped = _count(train, slices).groupBy("slice").applyInPandas(run, "slice long, hashes binary, counts binary, n_types long, n_tokens long, words binary")
+    return scratch_table(grouped, "lm-model")
 
 
-def _asked(one_h: np.ndarray, two: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of a batch by slice, and the slices."""
-    h = np.unique(np.concatenate([one_h, two]))
-    where = _slice_of(h, slices)
-    order = np.argsort(where, kind="stable")
-    return h[order], where[order]
+_SCAN = pa.schema([("batch", pa.int64()), ("slice", pa.int64()), ("head", pa.binary()), ("ones", pa.binary()), ("twos", pa.binary())])
+_SCAN_DDL = "batch long, slice long, head binary, ones binary, twos binary"
 
 
-def _edges(where: np.ndarray) -> list[tuple[int, int]]:
-    cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(where) else np.zeros(0, np.int64)
-    return list(zip(cut.tolist(), np.append(cut[1:], len(where)).tolist()))
+def _head(ids: pa.Array, size: np.ndarray, one: np.ndarray, at: np.ndarray) -> bytes:
+    """What a batch needs besides its counts: ids, tokens of each document, its words and where they stand.
 
+    Words stand under numbers by their frequency, which are small for most tokens.
+    """
+    null = np.packbits(ids.is_null().to_numpy(zero_copy_only=False))
+    often = np.argsort(-np.bincount(at, minlength=len(one)), kind="stable")
+    rank = np.empty(len(one), np.int64)
+    rank[often] = np.arange(len(one))
+    parts = [ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), null.tobytes(), _pack(size), _pack_sorted(one), _pack(often), _pack(rank[at])]
+    return struct.pack("<7I", len(ids), *map(len, parts)) + b"".join(parts)
+
+
+def _read_head(blob: bytes) -> tuple[pd.array, np.ndarray, np.ndarray, np.ndarray]:
+    n, *sizes = struct.unpack_from("<7I", blob)
+    ends = 28 + np.cumsum([0, *sizes])
+    ids, null, size, one, often, rank = (blob[a:b] for a, b in zip(ends, ends[1:]))
+    mask = np.unpackbits(np.frombuffer(null, np.uint8), count=n).astype(bool)
+    return pd.arrays.IntegerArray(np.frombuffer(ids, "<i8").astype(np.int64), mask), _unpack(size), _unpack_sorted(one), _unpack(often)[_unpack(rank)]
+
+
+def _scan(docs: DataFrame, slices: int) -> DataFrame:
+    """A row for each batch with its head (slice -1), and its distinct words and pairs by slice."""
+
+    def out(batch_id: int, ids: list, sizes: list, tokens: list) -> Iterator[pa.RecordBatch]:
+        h, size = np.concatenate(tokens), np.concatenate(sizes)
+        one, at = np.unique(h, return_inverse=True)
+        yield record(_SCAN, [batch_id], [-1], [_head(pa.concat_arrays(ids), size, one, at)], [None], [None])
+        two = np.unique(_bigrams(h, size)[0])
+        first, second = _spans(_slice_of(one >> _32, slices)), _spans(_slice_of(two >> _16, slices))
+        own = sorted(first.keys() | second.keys())
+        for k in range(0, len(own), 64):
+            part = own[k : k + 64]
+            yield record(_SCAN, [batch_id] * len(part), part, [None] * len(part), *([_pack_sorted(v[slice(*e.get(s, (0, 0)))]) for s in part] for e, v in ((first, one), (second, two))))
 
-def _model(one_h: np.ndarray, one_at: np.ndarray, size: np.ndarray, parts: dict[int, np.ndarray], slices: int, denominator: float) -> np.ndarray:
-    """The documents' scores from the counts that came back from each slice."""
-    h = one_h[one_at]
-    two, before = _bigrams(h, size)
-    asked, where = _asked(one_h, two, slices)
-    n = np.concatenate([parts[int(where[a])] for a, _ in _edges(where)])
-    order = np.argsort(asked)
-    asked, n = asked[order], n[order]
-    one_n = n[np.searchsorted(asked, one_h)]
-    c_two = n[np.searchsorted(asked, two)]
-    c_word = one_n[one_at]
-    # a text's first token follows as many texts as there are ends
-    c_before = np.maximum(one_n[np.searchsorted(one_h, np.where(before == _BEGIN, _END, before))], c_two)
-    p = np.minimum(1.0, (c_two + MU * (c_word + ALPHA) / denominator) / (c_before + MU))
-    return np.bincount(np.repeat(np.arange(len(size)), size), np.log10(p), len(size))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch_id = TaskContext.get().partitionId() << 32
+        ids, sizes, tokens, held = [], [], [], 0
+        for batch in batches:
+            for at, part in words.chunks(batch.column("text")):
+                h, size = _tokens(part)
+                ids.append(batch.column("doc_id").slice(at, len(part)))
+                sizes.append(size)
+                tokens.append(h)
+                held += len(h)
+                if held >= BATCH:
+                    yield from out(batch_id, ids, sizes, tokens)
+                    batch_id += 1
+                    ids, sizes, tokens, held = [], [], [], 0
+        if held:
+            yield from out(batch_id, ids, sizes, tokens)
+
+    return docs.mapInArrow(lean(run), _SCAN_DDL)
+
+
+_REPLY_DDL = "batch long, slice long, counts binary, levels binary, pair_levels binary"
+
+
+def _answered(asked: DataFrame, model: DataFrame) -> DataFrame:
+    """For each packed request the exact counts of its words and the levels of words and pairs."""
+
+    def run(key: tuple, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if len(known):
+            h, n = _unpack_sorted(known["hashes"][0]), _unpack(known["counts"][0])
+            table = np.frombuffer(known["words"][0], "<u8")
+        else:
+            h, n, table = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.uint64)
+        out = []
+        for batch, ones, twos in zip(rows["batch"], rows["ones"], rows["twos"]):
+            one, two = _unpack_sorted(ones), _unpack_sorted(twos)
+            c = np.zeros(len(one), np.int64)
+            if len(h):
+                at = np.minimum(np.searchsorted(h, one), len(h) - 1)
+                c = np.where(h[at] == one, n[at], 0)
+            out.append((batch, key[0], _pack(c), _pack(probed(table, one >> _16)), _pack(probed(table, two))))
+        trim()
+        return pd.DataFrame(out, columns=["batch", "slice", "counts", "levels", "pair_levels"])
 
+    return asked.groupBy("slice").cogroup(model.select("slice", "hashes", "counts", "words").groupBy("slice")).applyInPandas(run, _REPLY_DDL)
 
-_SCORED = "batch long, slice int, doc_ids binary, sizes binary, words binary, tokens binary, part_sum binary, part_known binary, rows binary, hashes binary, times binary"
 
+def _coarse_answers(asked: DataFrame, model: DataFrame, slices: int) -> DataFrame:
+    """Answers to requests by coarse slice, through bundles of many requests that are asked by fine slice."""
+    span = -(-slices // FAN)
+    bundled = asked.groupBy("slice", F.pmod(F.xxhash64("batch"), F.lit(span)).alias("bundle"))
 
-def _scan(docs: DataFrame, shared, slices: int, n_tokens: int, n_types: int) -> DataFrame:
-    """Packed rows of a batch: one with its documents (slice -1), its cold words by slice, and its n-grams by slice (no ``rows``)."""
-    schema = pa.schema([("batch", pa.int64()), ("slice", pa.int32()), *((k, pa.binary()) for k in ("doc_ids", "sizes", "words", "tokens", "part_sum", "part_known", "rows", "hashes", "times"))])
-    denominator = n_tokens + ALPHA * (n_types + 1)
+    def bundle(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        one, two = (np.unique(np.concatenate(list(map(_unpack_sorted, rows[c])))) for c in ("ones", "twos"))
+        spans = [_spans(_slice_of(one >> _32, slices)), _spans(_slice_of(two >> _16, slices))]
+        own = sorted(spans[0].keys() | spans[1].keys())
+        cut = [[_pack_sorted(v[slice(*e.get(s, (0, 0)))]) for s in own] for v, e in zip((one, two), spans)]
+        number = (int(key[0]) << 32) + int(key[1])
+        return pd.DataFrame({"batch": [number] * len(own), "slice": own, "ones": cut[0], "twos": cut[1]})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_hash, hot_count = shared.value
-        hot, hot_n = np.frombuffer(hot_hash, "<u8"), np.frombuffer(hot_count, "<i8")
-        batch_id = TaskContext.get().partitionId() << 32
-        for big in batches:
-            for at in range(0, big.num_rows, 8 * GROUP):
-                group = big.slice(at, 8 * GROUP)
-                h, size = _tokens(text_bytes(group))
-                doc = np.repeat(np.arange(group.num_rows), size)
-                two, _ = _bigrams(h, size)
-                one_h, one_at = np.unique(h, return_inverse=True)
-                # the base: distinct words of each document
-                order = np.lexsort((h, doc))
-                dh, dd = h[order], doc[order]
-                start = np.flatnonzero(np.concatenate([[True], (dh[1:] != dh[:-1]) | (dd[1:] != dd[:-1])]))
-                times = np.diff(np.append(start, len(dh)))
-                dh, dd = dh[start], dd[start]
-                place = np.minimum(np.searchsorted(hot, dh), max(0, len(hot) - 1))
-                warm = hot[place] == dh if len(hot) else np.zeros(len(dh), bool)
-                part = np.bincount(dd[warm], times[warm] * np.log10((hot_n[place[warm]] + ALPHA) / denominator), group.num_rows)
-                known = np.bincount(dd[warm], times[warm], group.num_rows).astype("<i8")
-                ids = group.column("doc_id")
-                sink = pa.BufferOutputStream()
-                one = pa.RecordBatch.from_arrays([ids], names=["doc_id"])
-                with pa.ipc.new_stream(sink, one.schema) as w:
-                    w.write_batch(one)
-                yield record(schema, [batch_id], [-1], [sink.getvalue().to_pybytes()], [size.astype("<i8").tobytes()], [one_h.astype("<u8").tobytes()], [_pack(one_at)], [part.astype("<f8").tobytes()], [known.tobytes()], *([None],) * 3)
-                dh, dd, times = dh[~warm], dd[~warm], times[~warm]
-                where = _slice_of(dh, slices)
-                order = np.argsort(where, kind="stable")
-                dh, dd, times, where = dh[order], dd[order], times[order], where[order]
-                if spans := _edges(where):
-                    none = [None] * len(spans)
-                    yield record(schema, [batch_id] * len(spans), [int(where[a]) for a, _ in spans], *[none] * 6, [dd[a:b].astype("<u2").tobytes() for a, b in spans], [dh[a:b].astype("<u8").tobytes() for a, b in spans], [_pack(times[a:b]) for a, b in spans])
-                own, where = _asked(one_h, two, slices)
-                spans = _edges(where)
-                none = [None] * len(spans)
-                yield record(schema, [batch_id] * len(spans), [int(where[a]) for a, _ in spans], *[none] * 7, [own[a:b].astype("<u8").tobytes() for a, b in spans], none)
-                batch_id += 1
-
-    return docs.mapInArrow(lean(run), _SCORED)
+    inner = scratch_table(bundled.applyInPandas(bundle, "batch long, slice long, ones binary, twos binary"), "lm-bundles")
+    answers = _answered(inner, model).join(inner, ["batch", "slice"])
+    member = asked.withColumn("bundle", (F.col("slice") * F.lit(1 << 32)) + F.pmod(F.xxhash64("batch"), F.lit(span)))
+
+    def spread(key: tuple, rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values("slice")
+        one, two = (np.concatenate(list(map(_unpack_sorted, found[c]))) for c in ("ones", "twos"))
+        c, level, pairs = (np.concatenate(list(map(_unpack, found[c]))) for c in ("counts", "levels", "pair_levels"))
+        out = []
+        for batch, part, ones, twos in zip(rows["batch"], rows["slice"], rows["ones"], rows["twos"]):
+            a, b = np.searchsorted(one, _unpack_sorted(ones)), np.searchsorted(two, _unpack_sorted(twos))
+            out.append((batch, part, _pack(c[a]), _pack(level[a]), _pack(pairs[b])))
+        trim()
+        return pd.DataFrame(out, columns=["batch", "slice", "counts", "levels", "pair_levels"])
+
+    return member.groupBy("bundle").cogroup(answers.withColumnRenamed("batch", "bundle").groupBy("bundle")).applyInPandas(spread, _REPLY_DDL)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -320,75 +386,40 @@ def score_documents(docs: DataFrame) -> DataFrame:
     gives no rows, and a table without training rows scores by the smoothing
     alone. Repeated rows count and are returned as often as they come.
     """
-    spark = docs.sparkSession
     source = id_text(docs)
     train = source.where(~held_out())
     volume = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(8, -(-volume // SLICE_BYTES))
-    unigrams = scratch_table(count_words(train, slices), "lm-words")
-    n_types, n_tokens = unigrams.agg(F.sum("n_types"), F.sum("n_tokens")).first()
-    n_types, n_tokens = n_types or 0, n_tokens or 0
-    least = max(1, -(-n_tokens // HOT))
-    hot_schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for hb, nb in zip(batch.column("hashes").to_pylist(), batch.column("counts").to_pylist()):
-                h, n = np.frombuffer(hb, "<u8"), _unpack(nb)
-                yield record(hot_schema, h[n >= least].view(np.int64), n[n >= least])
-
-    rows = unigrams.select("hashes", "counts").mapInArrow(lean(frequent), "h long, n long").toPandas()
-    hot = rows["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hot)
-    hot, hot_n = hot[order], rows["n"].to_numpy(np.int64)[order]
-    table = build_filter(train, unigrams, slices)
-    shared = spark.sparkContext.broadcast((hot.astype("<u8").tobytes(), hot_n.astype("<i8").tobytes()))
-    scanned = scratch_table(_scan(source, shared, slices, n_tokens, n_types), "lm-scan")
+    model = learn(train, slices)
+    n_types, n_tokens = (x or 0 for x in model.agg(F.sum("n_types"), F.sum("n_tokens")).first())
     denominator = n_tokens + ALPHA * (n_types + 1)
-
-    def look_up(key: tuple, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        h, n = (np.frombuffer(known["hashes"][0], "<u8"), _unpack(known["counts"][0])) if len(known) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        out = []
-        for batch, rb, hb, tb in zip(asked["batch"], asked["rows"], asked["hashes"], asked["times"]):
-            doc, own, times = np.frombuffer(rb, "<u2"), np.frombuffer(hb, "<u8"), _unpack(tb)
-            c = np.zeros(len(own), np.int64)
-            if len(h):
-                at = np.minimum(np.searchsorted(h, own), len(h) - 1)
-                c = np.where(h[at] == own, n[at], 0)
-            which, inverse = np.unique(doc, return_inverse=True)
-            total = np.bincount(inverse, times * np.log10((c + ALPHA) / denominator))
-            seen = np.bincount(inverse, times * (c > 0)).astype("<u4")
-            out.append((batch, which.astype("<u2").tobytes(), total.astype("<f8").tobytes(), seen.tobytes()))
-        return pd.DataFrame(out, columns=["batch", "rows", "sums", "seen"])
-
-    cold = scanned.where("rows IS NOT NULL").select("batch", "slice", "rows", "hashes", "times")
-    looked = cold.groupBy("slice").cogroup(unigrams.select("slice", "hashes", "counts").groupBy("slice")).applyInPandas(look_up, "batch long, rows binary, sums binary, seen binary")
-
-    def probe(key: tuple, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        words_of = known["words"][0] if len(known) else bytes(8)
-        counts = LogFrequencyFilter(1, len(words_of) // 8, bytes([known["lowest"][0] if len(known) else 1]), words_of)
-        levels = [np.frexp(counts.counts(np.frombuffer(hb, "<u8")))[1].astype(np.uint8).tobytes() for hb in asked["hashes"]]
-        return pd.DataFrame({"batch": asked["batch"], "slice": asked["slice"], "levels": levels})
-
-    grams = scanned.where("slice >= 0 AND rows IS NULL").select("batch", "slice", "hashes")
-    probed = grams.groupBy("slice").cogroup(table.groupBy("slice")).applyInPandas(probe, "batch long, slice int, levels binary")
+    scanned = scratch_table(_scan(source, min(slices, FAN)), "lm-scan")
+    asked = scanned.where("slice >= 0").select("batch", "slice", "ones", "twos")
+    replies = _answered(asked, model) if slices <= FAN else _coarse_answers(asked, model, slices)
 
     def finish(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows[rows["doc_ids"].notna()].iloc[0]
-        ids = pa.ipc.open_stream(own["doc_ids"]).read_all().column("doc_id").to_pandas().astype("Int64")
-        size = np.frombuffer(own["sizes"], "<i8")
-        found = rows[rows["levels"].notna()]
-        parts = {int(k): _middle(np.frombuffer(x, np.uint8).astype(np.int64)) for k, x in zip(found["slice"], found["levels"])}
-        score = _model(np.frombuffer(own["words"], "<u8"), _unpack(own["tokens"]), size, parts, slices, denominator)
-        base, known = np.frombuffer(own["part_sum"], "<f8").copy(), np.frombuffer(own["part_known"], "<i8").copy()
-        for rb, sb, kb in zip(*(rows[c][rows["rows"].notna()] for c in ("rows", "sums", "seen"))):
-            at = np.frombuffer(rb, "<u2")
-            base[at] += np.frombuffer(sb, "<f8")
-            known[at] += np.frombuffer(kb, "<u4")
-        return pd.DataFrame({"doc_id": ids, "n_tokens": size, "n_known": known, "train_tokens": n_tokens, "base_score": base, "score": score})
-
-    heads = scanned.where("slice = -1").select("batch", "doc_ids", "sizes", "words", "tokens", "part_sum", "part_known")
-    scored = heads.unionByName(looked, allowMissingColumns=True).unionByName(probed, allowMissingColumns=True).groupBy("batch").applyInPandas(finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        ids, size, one, at = _read_head(rows["head"][rows["head"].notna()].iloc[0])
+        parts = rows[rows["head"].isna()].sort_values("slice")
+        c, level, pairs = (np.concatenate(list(map(_unpack, parts[k]))) for k in ("counts", "levels", "pair_levels"))
+        h, doc = one[at], np.repeat(np.arange(len(size)), size)
+        two, before = _bigrams(h, size)
+        found, place = np.unique(two, return_inverse=True)
+        if len(found) != len(pairs) or len(one) != len(c):
+            raise ValueError("a batch didn't get all its counts back")
+        word = _middle(level)
+        c_two, c_word = _middle(pairs)[place], word[at]
+        # a text's first token follows as many texts as there are ends
+        c_before = np.empty_like(c_word)
+        c_before[1:] = c_word[:-1]
+        begin = np.cumsum(size) - size
+        c_before[begin] = word[np.searchsorted(one, _END)]
+        p = np.minimum(1.0, (c_two + MU * (c_word + ALPHA) / denominator) / (np.maximum(c_before, c_two) + MU))
+        base = np.log10((c + ALPHA) / denominator)[at]
+        trim()
+        return pd.DataFrame({"doc_id": ids, "n_tokens": size, "n_known": np.bincount(doc, (c > 0)[at], len(size)).astype(np.int64), "train_tokens": n_tokens, "base_score": np.bincount(doc, base, len(size)), "score": np.bincount(doc, np.log10(p), len(size))})
+
+    heads = scanned.where("slice = -1").select("batch", "head")
+    scored = heads.unionByName(replies, allowMissingColumns=True).groupBy("batch").applyInPandas(finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

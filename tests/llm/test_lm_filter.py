@@ -1,9 +1,10 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from kinweave.llm import lm
+from kinweave.llm import lm, words
 
 from .test_quality import held, tokens
 
@@ -12,11 +13,22 @@ def test_filter_holds_every_level(spark):
     rng = np.random.default_rng(4)
     texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**9, 3000)) for _ in range(120)]
     train = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    rows = lm.build_filter(train, lm.count_words(train, 2), 2).collect()
-    assert {r["lowest"] for r in rows} == {1} and sum(len(r["words"]) for r in rows) >= 2 * 120 * 3000 * 8 // lm.LOAD
-    table = {r["slice"]: lm.LogFrequencyFilter(1, len(r["words"]) // 8, bytes([r["lowest"]]), bytes(r["words"])) for r in rows}
-    h, _ = lm._tokens([t.encode() for t in texts])
-    assert all((table[k].counts(h[lm._slice_of(h, 2) == k]) > 0).all() for k in table)
+    rows = lm.learn(train, 8).collect()
+    assert sum(len(r["words"]) for r in rows) >= 2 * 120 * 3000 * 8 // lm.LOAD
+    h, size = lm._tokens(pa.array(texts))
+    grams = np.concatenate([h >> np.uint64(16), lm._bigrams(h, size)[0]])
+    where = lm._slice_of(grams >> np.uint64(16), 8)
+    assert all((lm.probed(np.frombuffer(r["words"], "<u8"), grams[where == r["slice"]]) > 0).all() for r in rows)
+
+
+def test_words_are_known_by_their_bytes():
+    texts = [None, "", " a\tB\x0bb", "x" * 700, "é ü " + "Q" * 8, "q" * 9, "a\0 a", "\x1c\x85"]
+    h, size = words.hashed(pa.array(["cut off", *texts]).slice(1))
+    own = [(t or "").encode().lower().split() for t in texts]
+    assert size.tolist() == [len(w) for w in own]
+    flat = [w for x in own for w in x]
+    assert len(set(zip(flat, h.tolist()))) == len(set(flat)) == len(set(h.tolist()))
+    assert [p.to_pylist() for _, p in words.chunks(pa.array(texts), 8)] != [texts] and [x for _, p in words.chunks(pa.array(texts), 8) for x in p.to_pylist()] == texts
 
 
 def test_scores_against_exact_counts(spark, docs, monkeypatch):
