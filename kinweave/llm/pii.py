@@ -1,9 +1,11 @@
 """Personal data: fixed patterns, and identifiers found by bootstrapped context.
 
 The base finds e-mail addresses, IP addresses, cards and phone numbers by their
-form; they're the seeds. What stands before an entity (two words, with any cue
-glued to it) is a lexical pattern. Patterns and instances, that is identifier
-texts, make a bipartite graph, which Spark scores in rounds:
+form. They're seeds, and so are strings of a credential's form (``FORMS``).
+What stands before a seed is a lexical pattern: the last one, two or three
+segments, a segment being a word or one of the cue characters that introduce a
+value. Patterns and instances, that is identifiers, make a bipartite graph, which
+Spark scores in rounds:
 
 * a pattern's confidence is the part of *all* its occurrences in the corpus that
   are followed by a known instance, weighted by the instances' scores, and
@@ -11,20 +13,21 @@ texts, make a bipartite graph, which Spark scores in rounds:
 * an instance that isn't a seed scores 1 - product(1 - confidence) over the
   patterns that it follows.
 
-Patterns whose confidence reaches ``CONFIDENCE`` then mark the identifier-like
-tokens after them: those of a form that the base doesn't know. They're reported
-under a kind of their own, ``id``, after the base spans, which all stay.
+Patterns whose confidence reaches ``CONFIDENCE`` then mark the tokens with a
+digit after them, at ``SURE`` also tokens without one, and an instance that
+scores ``SURE`` is marked wherever it stands. An access key id is known by its
+form alone; a hexadecimal string isn't, and needs a pattern. All these are
+reported under a kind of their own, ``id``, after the base spans, which all stay.
 
-Only documents with a digit or an @ give rows to the graph. The occurrences of a
-pattern are counted over all words of all documents, through a bit field of
-fixed size that says which word pairs to count; its false hits are removed by
-the join on the exact pattern.
+Segments, patterns and instances are known by hashes of 64 bits. The occurrences
+of patterns are counted, and trusted ones found again, over all segments of all
+documents in numpy, through a bit field of fixed size that says which contexts
+matter; its false hits go in the join on the pattern.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,22 +40,25 @@ from kinweave.llm.common import documents, fresh, id_text, lean, record, text_by
 from kinweave.sources.scratch import scratch_table
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT, CONFIDENCE, ROUNDS = 5, 0.5, 3
-#: Bits of the field of word pairs to count (1 MB).
+SUPPORT, CONFIDENCE, SURE, ROUNDS = 5, 0.5, 0.9, 3
+#: Bits of the field of contexts to look for (1 MB).
 FIELD = 1 << 23
-#: Characters before an entity that are searched for the two words of its pattern.
-REACH = 160
+#: Segments of the longest context, characters of the shortest identifier.
+REACH, LEAST = 3, 5
+#: Characters that are segments by themselves.
+CUES = b"=:\"'([{<"
+
+# Forms of credentials, of which the first is reported wherever it stands.
+FORMS = (re.compile(r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"), re.compile(r"(?<![0-9A-Za-z])(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{16,64}(?![0-9A-Za-z])"))
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"[^\s]*[0-9][^\s]*")
 _EDGE = "\"'`.,;:!?()[]{}<>#*$%&|=" + "‘’“”«»"
-_CUT = re.compile(r"[=:\"'(\[{<]")
+_SEGMENT = re.compile(rb"[^\x20\x09-\x0D" + re.escape(CUES) + rb"]+|[" + re.escape(CUES) + rb"]")
 
 
 def luhn(digits: str) -> bool:
@@ -95,121 +101,220 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def context(text: str, start: int) -> str:
-    """The pattern before a place: the last two words, lower-cased, glued cue included.
+def _points(raw: bytes) -> np.ndarray | None:
+    """The bytes at which the characters of a text begin, and its end; None where a character is a byte."""
+    if raw.isascii():
+        return None
+    return np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80), len(raw))
+
+
+def _stripped(text: str, a: int, b: int) -> tuple[int, int]:
+    """A token without the punctuation at its edges."""
+    while a < b and text[a] in _EDGE:
+        a += 1
+    while a < b and text[b - 1] in _EDGE:
+        b -= 1
+    return a, b
+
 
-    Empty where there's neither a second word nor a cue: the start of a text
-    says nothing about what follows.
+def candidates(raw: bytes, text: str, known: list[tuple[str, int, int]]) -> list[tuple[int, int, bool, bool, list[bytes]]]:
+    """Seeds and tokens with a digit outside them: (start, end, seed, known by form, segments before).
+
+    Segments are read once, and seeds and tokens are merged in order, so the
+    time is linear in the text.
     """
-    before = text[max(0, start - REACH) : start].lower()
-    last = before.split()[-2:]
-    if not before or before[-1].isspace():
-        return " ".join(last) if len(last) == 2 else ""
-    return " ".join(last) + "+"
-
-
-def candidates(text: str, known: list[tuple[str, int, int]]) -> list[tuple[int, int, str, str, bool]]:
-    """Seeds and identifier-like tokens outside them: (start, end, pattern, instance, seed)."""
-    out = [(a, b, context(text, a), text[a:b], True) for _, a, b in known]
-    taken = sorted((a, b) for _, a, b in known)
-    for m in _TOKEN.finditer(text) if _DIGIT.search(text) else ():
-        a, b = m.span()
-        cuts = [c.end() for c in _CUT.finditer(text, a, b)]
-        for a in (cuts[-1:] if cuts and _DIGIT.search(text, cuts[-1], b) else [a]):
-            while a < b and text[a] in _EDGE:
-                a += 1
-            while a < b and text[b - 1] in _EDGE:
-                b -= 1
-            if b - a >= 5 and b - a <= 256 and not any(x < b and a < y for x, y in taken):
-                out.append((a, b, context(text, a), text[a:b], False))
+    if not known and not _DIGIT.search(text):
+        return []
+    seeds = [(a, b, True, False) for _, a, b in known]
+    for k, form in enumerate(FORMS):
+        seeds += [(m.start(), m.end(), True, not k) for m in form.finditer(text)]
+    taken, last = [], 0
+    for s in sorted(seeds, key=lambda s: (s[0], -s[1])):
+        if s[0] >= last:
+            taken.append(s)
+            last = s[1]
+    points = _points(raw)
+    spans = [m.span() for m in _SEGMENT.finditer(raw)]
+    begins = [a for a, _ in spans]
+    at = begins if points is None else np.searchsorted(points, begins).tolist()
+    ends = [b for _, b in spans] if points is None else np.searchsorted(points, [b for _, b in spans]).tolist()
+    out, k = [], 0
+    for i, (a, b) in enumerate(zip(at, ends)):
+        while k < len(taken) and taken[k][0] < b:
+            s = taken[k]
+            before = [raw[x:y] for x, y in spans[max(0, i - REACH) : i]] if s[0] == a else []
+            out.append((*s, before))
+            k += 1
+        if b - a >= LEAST and not (k and taken[k - 1][1] > a):
+            a, b = _stripped(text, a, b)
+            if b - a >= LEAST and _DIGIT.search(text, a, b):
+                out.append((a, b, False, False, [raw[x:y] for x, y in spans[max(0, i - REACH) : i]]))
+    return out
+
+
+def _contexts(h: np.ndarray, room: np.ndarray) -> list[np.ndarray]:
+    """For k = 1, 2, 3 a hash of the k segments that end at each one, 0 where ``room`` before it is too small."""
+    out, now = [], words.mix(h)
+    for k in range(REACH):
+        if k:
+            now = words.pair(np.concatenate([np.zeros(min(k, len(h)), np.uint64), h[:-k] if k < len(h) else h[:0]]), now)
+        out.append(np.where(room > k, now, np.uint64(0)))
     return out
 
 
-_FOUND = "doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, spans array<struct<kind:string,start:long,end:long>>, near array<struct<start:long,end:long,pattern:string,instance:string,seed:boolean>>"
+def _of_lists(before: list[list[bytes]]) -> list[list[int]]:
+    """The contexts that end each list of segments."""
+    size = np.array([len(x) for x in before], np.int64)
+    h, _ = words.hashed(pa.array([s for x in before for s in x], pa.binary()))
+    if not len(h):
+        return [[] for _ in before]
+    end = np.cumsum(size)
+    contexts = _contexts(h, np.arange(1, len(h) + 1) - np.repeat(end - size, size))
+    rows = np.stack([c[np.maximum(end - 1, 0)] for c in contexts], 1).view(np.int64).tolist()
+    return [[x for x in row if x] if n else [] for row, n in zip(rows, size.tolist())]
+
+
+_FOUND = "doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, spans array<struct<kind:string,start:long,end:long>>, near array<struct<start:long,end:long,seed:boolean,sure:boolean,instance:long,contexts:array<long>>>"
+
+
+def _key(raw: bytes) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(raw, 42)).view(np.int64))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Base spans and candidates of every text; ``key`` is XXH64 of the text (seed 42)."""
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    near = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.string()), ("instance", pa.string()), ("seed", pa.bool_())]))
+    near = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("sure", pa.bool_()), ("instance", pa.int64()), ("contexts", pa.list_(pa.int64()))]))
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("spans", span), ("near", near)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, found, close = [], [], []
+            keys, found, close, before = [], [], [], []
             for raw in text_bytes(batch):
                 text = raw.decode("utf-8", "replace")
                 own = base_spans(text)
-                keys.append(int(np.uint64(xxhash.xxh64_intdigest(raw, 42)).view(np.int64)))
+                keys.append(_key(raw))
                 found.append([{"kind": k, "start": a, "end": b} for k, a, b in own])
-                close.append([dict(zip(("start", "end", "pattern", "instance", "seed"), c)) for c in candidates(text, own)])
-            n = [[sum(s["kind"] == k for s in own) for own in found] for k in KINDS]
+                rows = candidates(raw, text, own)
+                close.append([{"start": a, "end": b, "seed": seed, "sure": sure, "instance": _key(text[a:b].encode())} for a, b, seed, sure, _ in rows])
+                before += [c[-1] for c in rows]
+            for c, contexts in zip((c for one in close for c in one), _of_lists(before)):
+                c["contexts"] = contexts
+            n = [[sum(s["kind"] == k for s in spans) for spans in found] for k in KINDS]
             yield record(schema, batch.column("doc_id"), keys, *n, found, close)
 
     return id_text(docs).mapInArrow(lean(run), _FOUND)
 
 
-def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``pattern, total``: how often the words of each pattern stand in all texts."""
-    spark = docs.sparkSession
-    schema = pa.schema([("pattern", pa.string()), ("n", pa.int64())])
+class _Field:
+    """A bit for each hash, shared by many."""
 
-    def place(own: list[bytes]) -> np.ndarray:
-        h = words.hashes(own)
-        return words.pair(h[:-1], h[1:]) % np.uint64(FIELD)
+    def __init__(self, bits: bytes):
+        self.bits = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").view(bool)
+
+    def hits(self, context: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(self.bits[context % np.uint64(FIELD)] & (context != 0))
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FIELD // 8, np.uint8)
-        for batch in batches:
-            for p in batch.column("bare").to_pylist():
-                at = int(place(p.encode().split(b" "))[0])
-                bits[at >> 3] |= 1 << (at & 7)
-        used = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(bits[used], pa.int64())], names=["at", "bits"])
-
-    bare = patterns.select("bare").where("bare LIKE '% %'").distinct()
-    field = np.zeros(FIELD // 8, np.uint8)
-    for row in bare.mapInArrow(lean(mark), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
-        field[row["at"]] = row["bits"]
-    shared = spark.sparkContext.broadcast(field.tobytes())
+
+def _field(patterns: DataFrame):
+    """A broadcast of the bits of all patterns, 1 MB however many they are."""
+    at = F.col("pattern").bitwiseAND(F.lit(FIELD - 1).cast("long"))
+    bit = F.expr("shiftleft(1, cast(pattern & 7 as int))")
+    bits = np.zeros(FIELD // 8, np.uint8)
+    for row in patterns.groupBy(F.shiftright(at, 3).alias("byte")).agg(F.bit_or(bit).alias("bits")).toLocalIterator():
+        bits[row["byte"]] = row["bits"]
+    return patterns.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+
+def _segments(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Parts of a text column: its first row, text and end of each segment, begin and bytes of each, and the contexts."""
+    for at, part in words.chunks(column):
+        h, many, begin, size = words.located(part, CUES)
+        room = np.arange(1, len(h) + 1) - np.repeat(np.cumsum(many) - many, many)
+        yield at, np.repeat(np.arange(len(many)), many), room < np.repeat(many, many), begin, size, _contexts(h, room)
+
+
+def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``pattern, total``: how often each context is followed by anything in all texts."""
+    shared = _field(patterns)
+    schema = pa.schema([("pattern", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").view(bool)
+        field = _Field(shared.value)
         for batch in batches:
-            seen: Counter = Counter()
-            for text in text_bytes(batch):
-                own = text.decode("utf-8", "replace").lower().encode().split()
-                if len(own) > 1:
-                    for i in np.flatnonzero(bits[place(own)]).tolist():
-                        seen[own[i] + b" " + own[i + 1]] += 1
-            yield record(schema, [k.decode() for k in seen], list(seen.values()))
+            for _, _, goes_on, _, _, contexts in _segments(batch.column("text")):
+                seen = np.concatenate([c[i[goes_on[i]]] for c in contexts for i in [field.hits(c)]])
+                which, n = np.unique(seen, return_counts=True)
+                yield record(schema, which.view(np.int64), n)
 
-    return id_text(docs).mapInArrow(lean(count), "pattern string, n long").groupBy(F.col("pattern").alias("bare")).agg(F.sum("n").alias("total"))
+    return id_text(docs).select("text").mapInArrow(lean(count), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
 
 
-def _bare(pattern):
-    return F.regexp_replace(pattern, r"\+$", "")
+def learn_patterns(docs: DataFrame, found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame] | None:
+    """``pattern, confidence`` of the patterns that may discover identifiers, and ``instance, score`` of all instances.
 
-
-def learn_patterns(docs: DataFrame, found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """``pattern, confidence`` of the patterns that may discover identifiers."""
-    edges = scratch_table(found.select(F.explode("near").alias("e")).where("e.pattern <> ''").groupBy("e.pattern", "e.instance").agg(F.max("e.seed").alias("seed"), F.count("*").alias("n")), "pii-edges")
-    wide = edges.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("n").alias("follows")).where(F.col("instances") >= support).withColumn("bare", _bare(F.col("pattern")))
-    wide = scratch_table(wide, "pii-patterns")
-    empty = docs.sparkSession.createDataFrame([], "pattern string, confidence double")
+    None where no pattern has enough distinct instances.
+    """
+    near = found.select(F.explode("near").alias("e")).select("e.instance", "e.seed", F.explode("e.contexts").alias("pattern"))
+    edges = scratch_table(near.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n")), "pii-edges")
+    wide = scratch_table(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances")).where(F.col("instances") >= support).select("pattern"), "pii-patterns")
     if wide.isEmpty():
-        return empty
-    # a pattern with a glued cue is counted by the tokens that follow it alone
-    total = wide.join(_occurrences(docs, wide), "bare", "left").select("pattern", F.when(F.col("pattern").endswith("+"), F.col("follows")).otherwise(F.greatest("follows", F.coalesce("total", "follows"))).alias("total"))
-    graph = scratch_table(edges.join(total, "pattern"), "pii-graph")
-    score = graph.select("instance", F.col("seed").cast("double").alias("score")).where("score > 0").distinct()
+        return None
+    graph = scratch_table(edges.join(_occurrences(docs, wide).join(wide, "pattern"), "pattern"), "pii-graph")
+    score = graph.where("seed").select("instance", F.lit(1.0).alias("score")).distinct()
     for _ in range(rounds):
         known = graph.join(score, "instance", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-        rated = known.groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / F.first("total")).alias("confidence"), F.count_if(F.col("score") >= confidence).alias("support")).where(F.col("support") >= support).select("pattern", "confidence")
-        rated = scratch_table(rated, "pii-rated")
-        lifted = graph.join(rated, "pattern").groupBy("instance").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("confidence")))))).alias("score"))
-        score = scratch_table(lifted.select("instance", F.when(F.col("seed"), 1.0).otherwise(F.col("score")).alias("score")).union(score.join(lifted, "instance", "left_anti").select("instance", "score")), "pii-scores")
-    return rated.where(F.col("confidence") >= confidence)
+        rated = known.groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / F.first("total")).alias("confidence"), F.count_if(F.col("score") >= confidence).alias("support"))
+        rated = scratch_table(rated.where(F.col("support") >= support).select("pattern", F.least(F.lit(1.0), "confidence").alias("confidence")), "pii-rated")
+        lifted = graph.join(rated, "pattern", "left").groupBy("instance").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.coalesce("confidence", F.lit(0.0))))))).alias("score"))
+        score = scratch_table(lifted.select("instance", F.when(F.col("seed"), 1.0).otherwise(F.col("score")).alias("score"), "seed"), "pii-scores")
+    return rated.where(F.col("confidence") >= confidence), score
+
+
+def _marked(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``doc_id, key, start, end, pattern, digit``: tokens after a context that may be trusted, outside base spans."""
+    shared = _field(patterns)
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.int64()), ("digit", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = _Field(shared.value)
+        for batch in batches:
+            ids, out = batch.column("doc_id").to_pylist(), []
+            for first, doc, goes_on, begin, size, contexts in _segments(batch.column("text")):
+                hits: dict[int, list[tuple[int, int]]] = {}
+                for c in contexts:
+                    for i in field.hits(c).tolist():
+                        if goes_on[i]:
+                            hits.setdefault(int(doc[i]), []).append((i + 1, int(c[i : i + 1].view(np.int64)[0])))
+                for d, own in hits.items():
+                    raw = batch.column("text")[first + d].as_py().encode()
+                    text, points, key = raw.decode(), _points(raw), _key(raw)
+                    taken, at = sorted((a, b) for _, a, b in base_spans(text)), 0
+                    for i, pattern in sorted(own):
+                        a, b = int(begin[i]), int(begin[i] + size[i])
+                        if points is not None:
+                            a, b = np.searchsorted(points, [a, b]).tolist()
+                        a, b = _stripped(text, a, b)
+                        while at < len(taken) and taken[at][1] <= a:
+                            at += 1
+                        if b - a >= LEAST and not any(x < b for x, _ in taken[at : at + 1]):
+                            out.append((ids[first + d], key, a, b, pattern, _DIGIT.search(text, a, b) is not None))
+            yield record(schema, *([x[k] for x in out] for k in range(6)))
+
+    return id_text(docs).mapInArrow(lean(run), "doc_id long, key long, start long, end long, pattern long, digit boolean")
+
+
+def discoveries(docs: DataFrame, found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, sure: float = SURE) -> DataFrame:
+    """``doc_id, key, start, end`` of the identifiers that the base doesn't find; rows may come more than once."""
+    near = found.select("doc_id", "key", F.explode("near").alias("e")).select("doc_id", "key", "e.*").drop("contexts")
+    out = near.where("sure").select("doc_id", "key", "start", "end")
+    learnt = learn_patterns(docs, found, support, confidence)
+    if learnt is None:
+        return out
+    patterns, score = learnt
+    trusted = scratch_table(_marked(docs, patterns).join(patterns, "pattern").where(F.col("digit") | (F.col("confidence") >= sure)).select("doc_id", "key", "start", "end"), "pii-marked")
+    again = near.where("NOT seed").join(score.where((F.col("score") >= sure) & ~F.col("seed")).select("instance"), "instance", "left_semi").select("doc_id", "key", "start", "end")
+    return out.union(trusted).union(again)
 
 
 def find_pii(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
@@ -222,15 +327,10 @@ def find_pii(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFID
     rows; extra columns are not read.
     """
     found = scratch_table(scan(docs), "pii")
-    patterns = learn_patterns(docs, found, support, confidence)
-    none = F.array().cast("array<struct<kind:string,start:long,end:long>>")
-    kept = found.drop("near")
-    if patterns.isEmpty():
-        return kept.withColumn("extra", none)
-    near = found.select("doc_id", "key", F.explode("near").alias("e")).where(~F.col("e.seed")).distinct()
-    new = near.select("doc_id", "key", "e.start", "e.end", F.col("e.pattern").alias("pattern")).join(patterns, "pattern")
+    new = discoveries(docs, found, support, confidence)
     extra = new.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.array_sort(F.collect_set(F.struct(F.lit("id").alias("kind"), "start", "end"))).alias("extra"))
-    return kept.join(extra, kept.doc_id.eqNullSafe(extra.d) & (kept.key == extra.k), "left").drop("d", "k").withColumn("extra", F.coalesce("extra", none))
+    none = F.array().cast("array<struct<kind:string,start:long,end:long>>")
+    return found.drop("near").join(extra, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left").drop("d", "k").withColumn("extra", F.coalesce("extra", none))
 
 
 def redact(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
@@ -242,8 +342,9 @@ def redact(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDEN
     """
     names = docs.columns
     who, key, spans = fresh(docs, "_pii_id"), fresh(docs, "_pii_key"), fresh(docs, "_pii_spans")
-    found = find_pii(docs, support, confidence).where(F.size("extra") > 0)
-    extra = found.select(F.col("doc_id").alias(who), F.col("key").alias(key), F.col("extra").alias(spans)).dropDuplicates([who, key])
+    new = discoveries(docs, scratch_table(scan(docs), "pii"), support, confidence)
+    extra = new.groupBy(F.col("doc_id").alias(who), F.col("key").alias(key)).agg(F.collect_set(F.struct(F.lit("id").alias("kind"), "start", "end")).alias(spans))
+    extra = scratch_table(extra, "pii-extra")
     if extra.isEmpty():
         source = docs.withColumn(spans, F.lit(None).cast("array<struct<kind:string,start:long,end:long>>"))
     else:

@@ -85,20 +85,3 @@ def located(column: pa.Array, alone: bytes = b"") -> tuple[np.ndarray, np.ndarra
         out[i] = xxhash.xxh64_intdigest(low[begin[i] : begin[i] + size[i]])
     many = np.diff(np.searchsorted(begin, offsets - first))
     return out, many, begin - np.repeat(offsets[:-1] - first, many), size
-
-
-CACHE = 200_000
-_KNOWN: dict[bytes, int] = {}
-
-
-def hashes(words: list[bytes]) -> np.ndarray:
-    """XXH64 of each word (seed 0) as unsigned integers; the same in every process."""
-    got: list = list(map(_KNOWN.get, words))
-    if None in got:
-        if len(_KNOWN) > CACHE:
-            _KNOWN.clear()
-        for i, x in enumerate(got):
-            if x is None:
-                x = xxhash.xxh64_intdigest(words[i])
-                got[i] = _KNOWN[words[i]] = x - (1 << 64) if x >> 63 else x
-    return np.array(got, np.int64).view(np.uint64)

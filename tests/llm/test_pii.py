@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from kinweave.llm import pii
 
@@ -29,7 +30,8 @@ def test_base_spans():
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
         own = pii.base_spans(text)
         assert own == brute(text), text
-        pii.candidates(text, own)
+        seen = pii.candidates(text.encode(), text, own)
+        assert all(a < b <= len(text) and b0 <= a for (a, b, *_), b0 in zip(seen, [0, *(c[1] for c in seen)])), text
     assert pii.base_spans("9" * 200_000 + "." * 1000 + "a" * 200_000 + "@") == []
 
 
@@ -65,6 +67,40 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert all(clean[i] == text[i] for i in [*range(16, 20), *range(22, 120)])
 
 
+def test_long_texts_take_linear_time():
+    began = time.perf_counter()
+    run = "1" + "語" * 300_000 + " mail a@b.cd " + "x" * 1_000_000
+    assert [c[2] for c in pii.candidates(run.encode(), run, pii.base_spans(run))] == [False, True]
+    many = " ".join(f"u{i}@mail.example.com id-{i}00" for i in range(20_000))
+    assert len(pii.candidates(many.encode(), many, pii.base_spans(many))) == 40_000
+    assert time.perf_counter() - began < 5
+
+
+def secrets(spark):
+    """Cues that stand before hexadecimal seeds, before other tokens, far before a value, and before words."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(60):
+        value = f"{rng.getrandbits(60) | 1 << 59:015x}a1"
+        if i >= 40:
+            value = f"Hunter!{i}" if i < 45 else "correcthorse" if i < 47 else ("z9" * 400 if i == 47 else value)
+        rows.append((i, prose(rng, 20) + f' Passwörd={value} und token = "{value}" ' + "y" * 500 + " " + prose(rng, 5), "de", "s", 0))
+    rows += [(100, "the key AKIA" + "Q7" * 8 + " is out", "en", "s", 0), (101, f"deadbeef{1:09d} alone " + prose(rng, 9), "en", "s", 0), (102, "see Hunter!42 again " + prose(rng, 9), "en", "s", 0)]
+    rows += [(200 + i, f"word = {prose(rng, 1)} and token '{prose(rng, 3)}'", "en", "s", 0) for i in range(40)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_cues_discover_secrets(spark):
+    own = secrets(spark)
+    text = {r["doc_id"]: r["text"] for r in own.collect()}
+    extra = {r["doc_id"]: [text[r["doc_id"]][s["start"] : s["end"]] for s in r["extra"]] for r in pii.find_pii(own).collect()}
+    for i in range(60):
+        value = re.search("Passwörd=([^ ]+)", text[i])[1]
+        assert extra[i] == [value, value], i
+    assert extra[100] == ["AKIA" + "Q7" * 8] and extra[101] == [] and extra[102] == ["Hunter!42"]
+    assert not any(extra[200 + i] for i in range(40))
+
+
 def test_pii_edges(docs, clashing, empty):
     got = pii.find_pii(docs)
     assert got.count() == docs.count()
