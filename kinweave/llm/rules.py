@@ -6,10 +6,17 @@ labelled holdout: a cutoff is certified while the Clopper-Pearson upper bound on
 the share of good documents that it rejects is at most the rule's part of the
 risk. Testing stops at the first failure, so one error level serves the whole
 sequence of a rule (fixed-sequence testing), and Bonferroni's correction divides
-the level among rules and strata. All certified cutoffs hold at once; of these
-the one is taken that rejects most bad documents at ``GOOD_COST`` for a good
-one, the loosest in a tie. Where the holdout is too small for a guarantee, no
-cutoff is certified and the rule rejects nothing.
+the level among all sequences. All certified cutoffs hold at once; of these the
+one is taken that rejects most bad documents at ``GOOD_COST`` for a good one, the
+loosest in a tie.
+
+A stratum whose good documents are too few to certify anything for each rule's
+part of the risk has one rule, ``any``, with the whole risk: the largest of the
+rules' ratios. Which of the two a stratum gets depends on the number of its
+labels alone. Where they're too few for that as well, nothing is rejected.
+
+The bound holds for independent documents, so the holdout has one row for each
+text (by a digest of the whole text) and for each id.
 """
 
 from __future__ import annotations
@@ -18,14 +25,15 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kinweave.llm.common import documents, lean, record, text_bytes
+from kinweave.llm.common import documents, fresh, lean, text_bytes
 from kinweave.sources.scratch import scratch_table
 
-import numpy as np
-
 #: Share of the good documents of a stratum that all rules together may reject, and the error level.
 RISK, DELTA = 0.02, 0.05
 GOOD_COST = 10
@@ -37,6 +45,7 @@ RULES = {
     "dup_lines": ("n_dup_lines", "n_lines"),
     "capitals": ("n_capitals", "word_chars"),
 }
+ANY = "any"
 _SYMBOLS = b"#*$%&|<>"
 _CAPITALS = bytes(range(65, 91))
 _INNER = bytes(range(0x80, 0xC0))
@@ -77,17 +86,18 @@ def counts(text: bytes) -> tuple[int, ...]:
 
 
 def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns of ``keep`` and the counts of each text; null text has none."""
+    """The columns of ``keep``, the counts of each text and its ``digest`` (XXH128); null text has none and counts as empty."""
     source = docs.select(*keep, F.col("text").cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [counts(t) for t in text_bytes(batch, "_text")]
+            texts = text_bytes(batch, "_text")
+            rows = [counts(t) for t in texts]
             columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(COUNTS))]
             kept = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, *columns], names=[*keep, *COUNTS])
+            yield pa.RecordBatch.from_arrays([*kept, *columns, pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary())], names=[*keep, *COUNTS, "digest"])
 
-    ddl = ", ".join([*(f"`{c}` {t}" for c, t in source.drop("_text").dtypes), *(f"{c} long" for c in COUNTS)])
+    ddl = ", ".join([*(f"`{c}` {t}" for c, t in source.drop("_text").dtypes), *(f"{c} long" for c in COUNTS), "digest binary"])
     return source.mapInArrow(lean(run), ddl)
 
 
@@ -130,44 +140,85 @@ def certify(good: list[int], bad: list[int], risk: float, level: float) -> int |
     return best
 
 
+def least_labels(risk: float, level: float) -> int:
+    """Good documents below which not even a cutoff that rejects none of them is certified."""
+    return math.ceil(math.log(level) / math.log1p(-risk))
+
+
 def _bin(rule: str) -> Column:
+    """The bin of a rule's ratio, -1 where it has none; for ``any`` that of the largest ratio."""
+    if rule == ANY:
+        return F.greatest(*(_bin(r) for r in RULES))
     top, under = RULES[rule]
     ratio = F.when(F.col(under) > 0, F.least(F.lit(GRID - 1), F.ceil(F.col(top) * GRID / F.col(under)) - 1)).otherwise(-1)
     return ratio.cast("int")
 
 
-def learn_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[tuple[str, str], int]:
-    """Certified cutoffs by (stratum, rule), in steps of 1 / GRID.
+def _stratum(lang: str = "lang") -> Column:
+    """The stratum's name: the language behind a mark, so that null is one of its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(lang).cast("string")), F.lit(""))
+
+
+def holdout(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """``stratum, good`` and a bin for each rule: one row for each labelled text and id that passes the base rules.
 
     ``labels``: doc_id, quality (1 good, 0 bad). Labels without an id or a value
-    are left out; a doc_id with several counts as good if all say so. Documents
-    that fail a base rule take no part. Only histograms reach the driver, for
-    strata with enough good documents for any guarantee.
+    are left out; an id, or a text that several rows hold, counts as good if all
+    its labels say so.
     """
-    marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    level_all = delta / len(RULES)
-    least = math.ceil(math.log(level_all) / math.log1p(-risk / len(RULES)))
-    bins = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), _bin(r).alias("bin")) for r in RULES)))
-    joined = measured.where(~base_failed()).join(marks, "doc_id").select(F.coalesce("lang", F.lit("")).alias("stratum"), (F.col("quality") > 0).alias("good"), bins.alias("x"))
-    hist = scratch_table(joined.groupBy("stratum", "good", "x.rule", "x.bin").agg(F.count("*").alias("n")), "rules")
-    large = hist.where("good").groupBy("stratum", "rule").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("stratum", "rule")
-    found: dict[tuple[str, str], dict[bool, list[int]]] = {}
-    for row in hist.join(large, ["stratum", "rule"]).collect():
-        both = found.setdefault((row["stratum"], row["rule"]), {True: [0] * (GRID + 1), False: [0] * (GRID + 1)})
-        both[row["good"]][row["bin"] if row["bin"] > 0 else 0] += row["n"]
-    level = delta / max(1, len(found))
-    chosen = {key: certify(both[True], both[False], risk / len(RULES), level) for key, both in found.items()}
-    return {key: k for key, k in chosen.items() if k is not None}
-
-
-def verdict(cutoffs: dict[tuple[str, str], int]) -> Column:
-    """True where no rule of the document's stratum rejects it."""
+    marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    rows = measured.where(~base_failed()).join(marks, "doc_id").select("doc_id", "digest", _stratum().alias("stratum"), "quality", *(_bin(r).alias(r) for r in (*RULES, ANY)))
+    for key in ("doc_id", "digest"):
+        rows = rows.groupBy(key).agg(F.min("quality").alias("quality"), F.min(F.struct("stratum", *RULES, ANY, *({"doc_id", "digest"} - {key}))).alias("x")).select(key, "quality", "x.*")
+    return rows.select("stratum", (F.col("quality") > 0).alias("good"), *RULES, ANY)
+
+
+def learn_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """Certified cutoffs in steps of 1 / GRID: ``stratum`` and a column for each rule and ``any``, null where none is certified.
+
+    A task certifies a stratum from its histograms; the driver only learns how
+    many sequences are tested.
+    """
+    held = scratch_table(holdout(measured, labels), "rules-holdout")
+    sizes = held.where("good").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    part = risk / len(RULES)
+    # the numbers of labels that are enough are taken at the level of a single stratum, so that they don't depend on the others
+    enough, few = least_labels(part, delta / len(RULES)), least_labels(risk, delta)
+    sequences = sizes.agg(F.sum(F.when(F.col("n") >= enough, len(RULES)).when(F.col("n") >= few, 1))).first()[0] or 1
+    level = delta / sequences
+    names = [*RULES, ANY]
+    bins = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.greatest(F.lit(0), F.col(r)).alias("bin")) for r in names)))
+    hist = held.select("stratum", "good", bins.alias("x")).groupBy("stratum", "good", "x.rule", "x.bin").agg(F.count(F.lit(1)).alias("n"))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        own = {r: {g: np.bincount(x["bin"], x["n"], GRID + 1).astype(int).tolist() for g, x in ((g, rows[(rows["rule"] == r) & (rows["good"] == g)]) for g in (True, False))} for r in names}
+        n = sum(own[ANY][True])
+        found = {r: None for r in names}
+        if n >= enough:
+            found |= {r: certify(own[r][True], own[r][False], part, level) for r in RULES}
+        elif n >= few:
+            found[ANY] = certify(own[ANY][True], own[ANY][False], risk, level)
+        return pd.DataFrame({"stratum": [key[0]], **{r: pd.array([k], "Int32") for r, k in found.items()}})
+
+    large = hist.join(sizes.where(F.col("n") >= few).select("stratum"), "stratum")
+    return scratch_table(large.groupBy("stratum").applyInPandas(run, ", ".join(["stratum string", *(f"`{r}` int" for r in names)])), "rules-cutoffs")
+
+
+def verdict(cutoffs: str = "cut") -> Column:
+    """True where no rule of the document's stratum rejects it; ``cutoffs`` is the struct of its certified ones, or null."""
     out = F.lit(True)
-    for (stratum, rule), k in sorted(cutoffs.items()):
-        out = out & ~((F.coalesce("lang", F.lit("")) == stratum) & (_bin(rule) >= k))
+    for r in (*RULES, ANY):
+        out = out & ~F.coalesce(_bin(r) >= F.col(f"{cutoffs}.{r}"), F.lit(False))
     return out
 
 
+def _with_cutoffs(rows: DataFrame, cutoffs: DataFrame, lang: Column, name: str = "cut") -> DataFrame:
+    """Rows beside their stratum's cutoffs in a struct ``name``."""
+    there = fresh(rows, "_stratum")
+    known = cutoffs.select(F.col("stratum").alias(there), F.struct(*RULES, ANY).alias(name))
+    return rows.join(known, lang == F.col(there), "left").drop(there)
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, lang``, the counts, ``base_failed`` and ``kept`` for every row.
 
@@ -177,33 +228,40 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     read.
     """
     measured = scratch_table(measure(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text"), ["doc_id", "lang"]), "quality")
-    cutoffs = learn_cutoffs(measured, labels)
-    return measured.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(cutoffs))
+    judged = _with_cutoffs(measured, learn_cutoffs(measured, labels), _stratum())
+    return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict()).drop("cut", "digest")
+
+
+def rejects(n: dict[str, int], cut: dict[str, int | None] | None) -> bool:
+    """What ``base_failed`` and ``verdict`` say, for the counts of one text and its stratum's cutoffs."""
+    if n["n_words"] < 10 or 100 * n["n_repeat_words"] > 20 * n["n_words"]:
+        return True
+    if not cut:
+        return False
+    own = {r: min(GRID - 1, -(-n[top] * GRID // n[under]) - 1) if n[under] > 0 else -1 for r, (top, under) in RULES.items()}
+    own[ANY] = max(own.values())
+    return any(cut[r] is not None and b >= cut[r] for r, b in own.items())
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with all their columns.
 
     The counts are made again beside each text once the cutoffs are known, so
-    that no text is shuffled.
+    that no measure is joined to a text. The cutoffs, a row for each stratum
+    with enough labels, are joined by language, by broadcast if Spark finds them
+    small.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     cutoffs = learn_cutoffs(scratch_table(measure(slim, ["doc_id", "lang"]), "quality"), labels)
-    names = docs.columns
-    limits = {stratum: {r: k for (s, r), k in cutoffs.items() if s == stratum} for stratum, _ in cutoffs}
-
-    def good(text: bytes, lang: str | None) -> bool:
-        n = dict(zip(COUNTS, counts(text)))
-        if n["n_words"] < 10 or 100 * n["n_repeat_words"] > 20 * n["n_words"]:
-            return False
-        return not any(n[RULES[r][1]] > 0 and min(GRID - 1, -(-n[RULES[r][0]] * GRID // n[RULES[r][1]]) - 1) >= k for r, k in limits.get(lang or "", {}).items())
+    names, cut = docs.columns, fresh(docs, "_cut")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = batch.column("lang").cast(pa.string()).to_pylist()
-            yield batch.filter(pa.array([good(t, x) for t, x in zip(text_bytes(batch), langs)], pa.bool_()))
+            limits = batch.column(cut).to_pylist()
+            keep = [not rejects(dict(zip(COUNTS, counts(t))), x) for t, x in zip(text_bytes(batch), limits)]
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
-    return docs.select(*names).mapInArrow(lean(run), docs.schema)
+    return _with_cutoffs(docs, cutoffs, _stratum(), cut).select(*names, cut).mapInArrow(lean(run), docs.schema)
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

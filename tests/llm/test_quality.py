@@ -3,9 +3,11 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
+import zstandard
 
 from kinweave.llm import lm, rules, zquality
 
@@ -79,7 +81,7 @@ def labelled(spark):
         quality = int(i % 13 > 0)
         if not quality:
             text = " ".join(w + "###" for w in text.split())
-        rows.append((i, text, "en" if i % 50 else None, "s", len(text)))
+        rows.append((i, text, None if i % 50 == 0 else "de" if i % 5 == 1 else "en", "s", len(text)))
         marks.append((i, quality, 0))
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
 
@@ -90,6 +92,7 @@ def test_quality_rules(spark, docs, clashing, empty):
     wrong = Counter((r["kept"], r["doc_id"] % 13 > 0) for r in got if r["lang"])
     assert wrong[(True, False)] == 0 and wrong[(False, True)] == 0
     assert all(r["kept"] for r in got if r["lang"] is None), "too few of a stratum certify nothing"
+    assert {(r["stratum"], r["any"] is None, r["symbols"] is None) for r in rules.learn_cutoffs(rules.measure(own, ["doc_id", "lang"]), labels).collect()} == {("=en", True, False), ("=de", False, True)}
     kept = rules.keep_good(own, labels)
     assert rows_of(kept.select("doc_id")) == sorted(((r["doc_id"],) for r in got if r["kept"]), key=repr)
     none = labels.limit(0)
@@ -100,6 +103,74 @@ def test_quality_rules(spark, docs, clashing, empty):
     assert rows_of(rules.keep_good(docs, none).select("doc_id")) == rows_of(plain.where("kept").select("doc_id"))
 
 
+def brute_kept(rows, marks):
+    """The verdicts from texts and labels alone; rows: (doc_id, text, lang)."""
+    n = {t: brute_counts(t or "") for _, t, _ in rows}
+    failed = {t: c[0] < 10 or 100 * c[4] > 20 * c[0] for t, c in n.items()}
+    ratios = {t: [Fraction(a, b) if b else None for a, b in ((c[2], c[1]), (c[4], c[0]), (c[3], c[5]), (c[6], c[1]))] for t, c in n.items()}
+    for x in ratios.values():
+        x.append(max((r for r in x if r is not None), default=None))
+    quality = {}
+    for i, q in marks:
+        if i is not None and q is not None:
+            quality[i] = min(q, quality.get(i, 1))
+    held = {}
+    for i, t, lang in rows:
+        if i in quality and not failed[t]:
+            held.setdefault(t, []).append((lang is not None, lang or "", quality[i]))
+    strata = {}
+    for t, own in held.items():
+        strata.setdefault(min(own)[:2], []).append((t, min(q for *_, q in own) > 0))
+    kinds = {}
+    for s, own in strata.items():
+        good = sum(g for _, g in own)
+        kinds[s] = [0, 1, 2, 3] if 0.995**good <= 0.0125 else [4] if 0.98**good <= 0.05 else []
+    level = 0.05 / max(1, sum(map(len, kinds.values())))
+    cut = {}
+    for s, own in strata.items():
+        for k in kinds[s]:
+            risk, total, gain = (0.02 if k == 4 else 0.005), sum(g for _, g in own), 0
+            for step in range(rules.GRID - 1, 0, -1):
+                over = [g for t, g in own if ratios[t][k] is not None and ratios[t][k] > Fraction(step, rules.GRID)]
+                if sum(over) / total > risk or exact_upper(sum(over), total, level) > risk:
+                    break
+                if len(over) - sum(over) - rules.GOOD_COST * sum(over) > gain:
+                    gain, cut[s, k] = len(over) - sum(over) - rules.GOOD_COST * sum(over), step
+    at = [(lang is not None, lang or "") for *_, lang in rows]
+    return [not failed[t] and not any(ratios[t][k] is not None and (s, k) in cut and ratios[t][k] > Fraction(cut[s, k], rules.GRID) for k in range(5)) for (_, t, _), s in zip(rows, at)]
+
+
+def test_verdicts_against_brute_force(spark):
+    """Copies of texts, repeated ids, several and missing labels, ties, three kinds of strata."""
+    own, labels = labelled(spark)
+    rng = random.Random(9)
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in own.collect()]
+    rows = [(i, t.replace("###", "##", rng.randint(0, 20)) if i % 13 == 0 else t + (" ##" if i % 97 == 0 else ""), x) for i, t, x in rows]
+    rows += [(5000 + i, rows[i % 40][1], rows[i % 3][2]) for i in range(400)] + [(7, rows[9][1], "en"), (None, rows[0][1], "en"), (9000, None, None), (9001, " ", "")]
+    marks = [(r["doc_id"], r["quality"]) for r in labels.collect()] + [(5000 + i, 1) for i in range(400)] + [(3, 0), (None, 1), (4, None), (9000, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = rules.quality_rules(docs, spark.createDataFrame(marks, "doc_id long, quality int"))
+    want = brute_kept(rows, marks)
+    assert 100 < sum(not k for k in want) < 1000
+    assert Counter((r["doc_id"], r["lang"], r["n_words"], r["kept"]) for r in got.collect()) == Counter((i, x, len((t or "").split()), k) for (i, t, x), k in zip(rows, want))
+
+
+def test_classifier_against_a_direct_computation():
+    """Scores from sizes and the formula, texts that are empty, long and alike included."""
+    rng = random.Random(12)
+    good, bad = [prose(rng, 60) for _ in range(60)], [prose(rng, 20) + " ###" * 20 for _ in range(60)]
+    model = zquality.fit_model([g.encode() for g in good], [b.encode() for b in bad], 0.7)
+    texts = [b"", b"x", good[0].encode(), bad[0].encode(), bad[0].encode(), ("".join(good) * 300).encode(), "日本語".encode() * 5]
+    want = []
+    for t in texts:
+        size = [len(zstandard.ZstdCompressor(level=zquality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False).compress(t)) for d in (model.good, model.bad)]
+        x = [(size[1] - size[0]) / (size[0] + size[1]), math.log((size[0] + 1) / (len(t) + 1)), math.log1p(len(t))]
+        z = [min(4, max(-4, (v - c) / s)) for v, c, s in zip(x, model.centre, model.scale)]
+        design = [*z, *(v * v for v in z), z[0] * z[1], z[0] * z[2], z[1] * z[2], *(max(v - 1, 0) for v in z), *(max(-1 - v, 0) for v in z), 1]
+        want.append(1 / (1 + math.exp(-sum(d * w for d, w in zip(design, model.weights)))))
+    assert model.score(texts).tolist() == pytest.approx(want, abs=1e-9)
+
+
 def test_classifier_on_held_out_rows(spark, docs, clashing, empty):
     own, labels = labelled(spark)
     model = zquality.learn(own, labels)
