@@ -9,13 +9,15 @@ double, rebuilt from the stored keys.
 
 In the batch query every task indexes what it reads first, so one row for each
 distinct text of a task is shuffled and a text held by a third of all rows
-arrives as one row a task; the second level indexes those rows by shard.
+arrives as one row a task; the second level indexes those rows by shard, with
+as many shards as the number of rows asks for.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -27,6 +29,8 @@ SLOTS = 4
 MAX_KICKS = 200
 #: Distinct texts that a first-level index holds before it's written out.
 FLUSH = 200_000
+#: Rows that a shard of the second level is meant for; the number of shards follows from the number of rows.
+SHARD_ROWS = 200_000
 
 
 class CuckooIndex:
@@ -137,15 +141,27 @@ def _better(a: tuple, b: tuple) -> tuple:
     return min(a, b, key=lambda x: (-x[0], x[1] is None, x[1] or 0))
 
 
+_ENTRY = pa.schema([("digest", pa.binary()), ("n_points", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
+
+
+def _entries(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
+    """What an index holds, in small batches."""
+    items = index.items()
+    while part := list(islice(items, 10_000)):
+        yield record(_ENTRY, [k for k, _ in part], *([v[i] for _, v in part] for i in range(3)))
+
+
+def _sharded(rows: DataFrame, number: int) -> DataFrame:
+    """Rows dealt by digest to as many shards as hold about ``SHARD_ROWS`` of ``number`` rows, at least the session's partitions.
+
+    The number is given, so that adaptive execution doesn't put shards together.
+    """
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-number // SHARD_ROWS)), "digest")
+
+
 def _index(rows: DataFrame, flush: int | None) -> DataFrame:
     """One row for each live digest of a task (or of each ``flush`` of them)."""
-    schema = pa.schema([("digest", pa.binary()), ("n_points", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
-
-    def out(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
-        rows = list(index.items())
-        for at in range(0, len(rows), 10_000):
-            part = rows[at : at + 10_000]
-            yield record(schema, [k for k, _ in part], *([v[i] for _, v in part] for i in range(3)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = CuckooIndex()
@@ -157,9 +173,9 @@ def _index(rows: DataFrame, flush: int | None) -> DataFrame:
                     n += seen[2]
                 index.insert(key, (points, doc, n))
             if flush and index.live >= flush:
-                yield from out(index)
+                yield from _entries(index)
                 index = CuckooIndex()
-        yield from out(index)
+        yield from _entries(index)
 
     return rows.mapInArrow(lean(run), "digest binary, n_points long, keep_id long, group_size long")
 
@@ -167,7 +183,7 @@ def _index(rows: DataFrame, flush: int | None) -> DataFrame:
 def exact_groups(found: DataFrame) -> DataFrame:
     """``digest, n_points, keep_id, group_size`` from :func:`digests`."""
     first = _index(found.select("digest", "n_points", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")), FLUSH)
-    return _index(first.repartition("digest"), None)
+    return _index(_sharded(first, found.count()), None)
 
 
 def apply_changes(live: DataFrame, changes: DataFrame) -> DataFrame:
@@ -179,8 +195,6 @@ def apply_changes(live: DataFrame, changes: DataFrame) -> DataFrame:
     digest out of the index. Deletes of unknown digests change nothing; rows
     with a null digest or op are ignored.
     """
-    schema = pa.schema([("digest", pa.binary()), ("n_points", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = CuckooIndex()
         for batch in batches:
@@ -193,13 +207,12 @@ def apply_changes(live: DataFrame, changes: DataFrame) -> DataFrame:
                         points, doc = _better(seen[:2], (points, doc))
                         n += seen[2]
                     index.insert(key, (points, doc, n))
-        rows = list(index.items())
-        yield record(schema, [k for k, _ in rows], *([v[i] for _, v in rows] for i in range(3)))
+        yield from _entries(index)
 
     old = live.select(F.lit(None).cast("long").alias("seq"), F.lit("insert").alias("op"), "digest", "n_points", "keep_id", "group_size")
     new = changes.select("seq", "op", "digest", "n_points", "keep_id", F.lit(1).cast("long").alias("group_size"))
     rows = old.unionByName(new).where("digest IS NOT NULL AND op IS NOT NULL")
-    return rows.repartition("digest").sortWithinPartitions(F.col("seq").asc_nulls_first()).mapInArrow(lean(run), "digest binary, n_points long, keep_id long, group_size long")
+    return _sharded(rows, rows.count()).sortWithinPartitions(F.col("seq").asc_nulls_first()).mapInArrow(lean(run), "digest binary, n_points long, keep_id long, group_size long")
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
