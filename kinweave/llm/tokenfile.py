@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ BLOCK = 1024
 PERCENTILE = 90
 #: An image is closed when it holds this many ids; a longer document makes a longer one.
 IMAGE_IDS = 1 << 20
+#: Bytes of text that a range is meant for.
+RANGE_BYTES = 64 << 20
 _HEAD = struct.Struct("<8sQQQ")
 
 
@@ -125,12 +128,16 @@ class ImageReader:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Encode texts and write images to ``path`` in ascending doc_id order.
 
-    Rows: ``part, image, local_start, n_ids, payload``; ``part`` numbers the
-    ranges of doc_id, ``image`` the images of a range, ``local_start`` counts
-    the ids of the range before the image. Null doc_ids come first; rows that
-    share a doc_id are ordered by text. Null text counts as empty.
+    Rows: ``part, image, first_id, last_id, local_start, n_ids, payload``;
+    ``part`` numbers the ranges of rows, ``image`` the images of a range,
+    ``local_start`` counts the ids of the range before the image, and first_id
+    and last_id are the smallest and largest doc_id in it. Null doc_ids come
+    first; rows that share a doc_id are ordered by a hash of their text. Null
+    text counts as empty. Ranges are cut by doc_id, that hash and a row number,
+    so rows that share their id, or have none, and their text don't meet in one
+    task; the number of ranges follows from the volume of text.
     """
-    schema = pa.schema([("part", pa.int64()), ("image", pa.int64()), ("local_start", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
+    schema = pa.schema([("part", pa.int64()), ("image", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("local_start", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_bpe(tokenizer)
@@ -143,7 +150,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
 
         def flush() -> pa.RecordBatch:
             payload = write_image(who, lengths, np.frombuffer(b"".join(held), encoder.dtype).astype(np.uint32))
-            return record(schema, [part], [image], [local], [total], [payload])
+            known = [w for w in who if w is not None]
+            return record(schema, [part], [image], [min(known, default=None)], [max(known, default=None)], [local], [total], [payload])
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch)):
@@ -159,8 +167,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
         if who:
             yield flush()
 
-    ordered = id_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(lean(run), "part long, image long, local_start long, n_ids long, payload binary").write.option("compression", "none").parquet(path)
+    source = id_text(docs)
+    volume = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-volume // RANGE_BYTES))
+    keyed = source.withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange(ranges, "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row").select("doc_id", "text")
+    ordered.mapInArrow(lean(run), "part long, image long, first_id long, last_id long, local_start long, n_ids long, payload binary").write.option("compression", "none").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -191,6 +203,33 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return found.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def read_documents(spark: SparkSession, path: str, wanted: list[int]) -> DataFrame:
+    """``doc_id, ids`` of the documents with these ids in the images at ``path``.
+
+    Only images whose range holds a wanted id are read, and of these only the
+    blocks of those documents are decoded. A doc_id that several rows share
+    gives a row for each; unknown ids and nulls give none.
+    """
+    own = sorted({int(w) for w in wanted if w is not None})
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column("payload").to_pylist():
+                reader = ImageReader(payload)
+                at = [k for k, d in enumerate(reader.doc_ids) if d is not None and (i := bisect_left(own, d)) < len(own) and own[i] == d]
+                yield record(schema, [reader.doc_ids[k] for k in at], [reader.slice(int(reader.ends[k] - reader.lengths[k]), int(reader.ends[k])).tolist() for k in at])
+
+    images = spark.read.parquet(path)
+    if not own:
+        return images.limit(0).mapInArrow(lean(run), "doc_id long, ids array<long>")
+    spans = F.lit(False)
+    for a in range(0, len(own), max(1, len(own) // 64)):
+        part = own[a : a + max(1, len(own) // 64)]
+        spans = spans | ((F.col("first_id") <= part[-1]) & (F.col("last_id") >= part[0]))
+    return images.where(spans).select("payload").mapInArrow(lean(run), "doc_id long, ids array<long>")
+
+
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Write the images to the shared folder and give what reading them back finds.
 
