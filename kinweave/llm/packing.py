@@ -25,6 +25,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from kinweave.llm.bytebpe import byte_bpe, default_path
@@ -34,6 +36,8 @@ TIERS = (256, 512, 1024, 2048)
 #: Bytes of text that a shard is meant to hold, and sequences of a step group.
 SHARD_BYTES = 8 << 20
 STEP = 32
+#: Equal rows of a task that may go to one shard.
+COPIES = 64
 
 
 def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[tuple[int, int, int]]]:
@@ -101,17 +105,29 @@ def step_groups(sizes: list[int], step: int = STEP) -> list[int]:
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """``doc_id, ids`` with the end id; ids as little-endian bytes, and their bytes a token."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("item", pa.int32())])
+    """``doc_id, ids`` with the end id; ids as little-endian bytes, and their bytes a token.
+
+    ``salt`` tells rows of a task apart that have the same id, or none, and the
+    same text: it goes up with every ``COPIES`` of them. It depends on how often
+    such a row comes and not on the order, so a task that's run again agrees.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("item", pa.int32()), ("salt", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_bpe(tokenizer)
         end = np.array([end_id], encoder.dtype).tobytes()
+        task = TaskContext.get().partitionId() << 32
+        seen: dict[int, int] = {}
         for batch in batches:
-            ids = [encoder.ids(t.decode("utf-8", "replace")) + end for t in text_bytes(batch)]
-            yield record(schema, batch.column("doc_id"), ids, [encoder.dtype.itemsize] * len(ids))
+            ids, salt = [], []
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), text_bytes(batch)):
+                ids.append(encoder.ids(raw.decode("utf-8", "replace")) + end)
+                key = hash((doc, xxhash.xxh64_intdigest(raw)))
+                n = seen[key] = seen.get(key, -1) + 1
+                salt.append(task + n // COPIES if n >= COPIES else 0)
+            yield record(schema, batch.column("doc_id"), ids, [encoder.dtype.itemsize] * len(ids), salt)
 
-    return id_text(docs).mapInArrow(lean(run), "doc_id long, ids binary, item int")
+    return id_text(docs).mapInArrow(lean(run), "doc_id long, ids binary, item int, salt long")
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_group long"
@@ -146,7 +162,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tupl
         trim()
         return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
-    shard = F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.lit(shards))
+    shard = F.pmod(F.xxhash64("doc_id", F.crc32("ids"), "salt"), F.lit(shards))
     return encoded(docs, tokenizer, end_id).groupBy(shard.alias("shard")).applyInPandas(run, PIECES)
 
 
