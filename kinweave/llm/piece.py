@@ -141,7 +141,9 @@ class PieceBpe:
         self.size = np.array([1 if p.type == 6 else len(p.piece.encode()) for p in model.pieces], np.int64)
         self.source_size = self.size - np.array([2 * p.piece.count(WS) for p in model.pieces], np.int64)
         self.dtype = np.dtype("<u2" if total <= 1 << 16 else "<u4")
+        #: Values of parts in two generations: a part that's met again moves to the younger one.
         self.cache: dict[str, object] = {}
+        self.older: dict[str, object] = {}
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The place of each pair in the table, or -1."""
@@ -254,14 +256,15 @@ class PieceBpe:
         cut = [[WS + p for p in own] if m else own for own, m in zip(cut, marked)]
         get = self.cache.get
         got = [list(map(get, own)) for own in cut]
-        new = list({p for own, g in zip(cut, got) if None in g for p, x in zip(own, g) if x is None})
+        new = {p for own, g in zip(cut, got) if None in g for p, x in zip(own, g) if x is None}
         if new:
-            fresh: dict[str, object] = {}
+            fresh = {p: x for p in new if (x := self.older.get(p)) is not None}
+            new = list(new.difference(fresh))
             for at in range(0, len(new), 50_000):
                 part = new[at : at + 50_000]
                 fresh.update(zip(part, map(value, self.merge(part))))
-            if len(self.cache) + len(fresh) > CACHE:
-                self.cache.clear()
+            if len(self.cache) + len(fresh) > CACHE // 2:
+                self.older, self.cache = self.cache, {}
             self.cache.update(fresh)
             got = [[fresh[p] if x is None else x for p, x in zip(own, g)] if None in g else g for own, g in zip(cut, got)]
         return got
