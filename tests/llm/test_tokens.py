@@ -48,9 +48,9 @@ def test_image_round_trip():
 def test_token_files(docs, clashing, empty, monkeypatch):
     monkeypatch.setattr(tokenfile, "IMAGE_IDS", 500)
     library = Tokenizer.from_file(BYTE)
-    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    rows = sorted(((r["doc_id"], r["h"], r["text"] or "") for r in docs.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     want, at = [], 0
-    for i, text in rows:
+    for i, _, text in rows:
         ids = np.array([*library.encode(text, add_special_tokens=False).ids, 0], "<u4")
         want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
@@ -60,6 +60,32 @@ def test_token_files(docs, clashing, empty, monkeypatch):
     assert tokenfile.token_files(empty, BYTE).count() == 0
 
 
+def test_read_documents(spark, docs, tmp_path, monkeypatch):
+    """Single documents through the block index; other images aren't read."""
+    monkeypatch.setattr(tokenfile, "IMAGE_IDS", 500)
+    library, path = Tokenizer.from_file(BYTE), f"{tmp_path}/images"
+    tokenfile.write_tokens(docs, path, BYTE, 0)
+    wanted = [7, 3, 50, None, 10**6]
+    want = sorted((r["doc_id"], [*library.encode(r["text"] or "", add_special_tokens=False).ids, 0]) for r in docs.collect() if r["doc_id"] in (3, 7, 50))
+    assert sorted((r["doc_id"], r["ids"]) for r in tokenfile.read_documents(spark, path, wanted).collect()) == want
+    assert tokenfile.read_documents(spark, path, [None]).count() == 0
+    images = spark.read.parquet(path)
+    assert images.where("first_id <= 3 AND last_id >= 3").count() < images.count()
+
+
+def test_a_hundred_thousand_equal_rows(spark, tmp_path):
+    """Equal rows without an id don't meet in one range or shard."""
+    same = spark.range(100_000).selectExpr("CAST(NULL AS long) AS doc_id", "'the same few words' AS text").repartition(4)
+    n = len(Tokenizer.from_file(BYTE).encode("the same few words", add_special_tokens=False).ids) + 1
+    tokenfile.write_tokens(same, f"{tmp_path}/images", BYTE, 0)
+    parts = {r["part"]: r["n"] for r in spark.read.parquet(f"{tmp_path}/images").groupBy("part").agg({"n_ids": "sum"}).withColumnRenamed("sum(n_ids)", "n").collect()}
+    assert len(parts) == 4 and max(parts.values()) < 50_000 * n
+    starts = sorted(r["start"] for r in tokenfile.read_tokens(spark, f"{tmp_path}/images").select("start").collect())
+    assert starts == list(range(0, 100_000 * n, n))
+    packed = packing.pack_documents(same, BYTE, shard_bytes=64_000).selectExpr("shiftright(sequence_id, 32) AS shard", "length").groupBy("shard").agg({"length": "sum"}).collect()
+    assert sum(r[1] for r in packed) == 100_000 * n and len(packed) > 20 and max(r[1] for r in packed) < 15_000 * n
+
+
 def test_pack_covers_everything():
     rng = random.Random(6)
     for _ in range(200):
@@ -150,6 +176,32 @@ def test_normaliser_with_a_compiled_map(change):
         assert len(align) == len(out) + 1 and align == sorted(align) and align[-1] <= len(text.encode())
 
 
+def test_encoding_with_a_compiled_map(spark, docs, tmp_path):
+    """The query's path over a model whose map changes texts: ids, decoded texts and spans of the source."""
+    proto, other = pb.ModelProto(), pb.ModelProto()
+    proto.ParseFromString(open(PIECE, "rb").read())
+    other.ParseFromString(SentencePieceNormalizer(rule_name="nmt_nfkc", add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=True).serialized_model_proto())
+    proto.normalizer_spec.CopyFrom(other.normalizer_spec)
+    path = tmp_path / "mapped.model"
+    path.write_bytes(proto.SerializeToString())
+    library = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    texts = [*odd_texts(), "ＡＢ  ½ é ﬁ\t x ", "ｶﾞ ㌔ 　x　"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pieces.encode_pieces(rows, str(path)).collect():
+        text = texts[r["doc_id"]]
+        assert r["ids"] == library.encode(text) and r["decoded"] == library.decode(r["ids"]), text
+        assert r["begins"][1:] == r["ends"][:-1] and all(a <= b for a, b in zip(r["begins"], r["ends"])) and (not r["ends"] or r["ends"][-1] <= len(text.encode()))
+    assert {r["doc_id"]: r["n_tokens"] for r in pieces.token_counts(rows, str(path)).collect()} == {i: len(library.encode(t)) for i, t in enumerate(texts)}
+
+
+def test_caches_change_nothing(monkeypatch):
+    monkeypatch.setattr(piece, "CACHE", 40)
+    model, library = piece.PieceBpe(PIECE), sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    for text in odd_texts():
+        (ids, _, _), = pieces.encode_texts(model, [text.encode()])
+        assert ids.tolist() == library.encode(text)
+
+
 def test_encode_pieces(docs, clashing, empty):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECE)
     for r in pieces.encode_pieces(docs, PIECE).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
