@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kinweave.functions.ids import PAIR_KEY, candidate_source
 
 FOLD_COLUMNS = ("fold", "source1_fold", "candidate_fold")
-FORBIDDEN = {"label", "positive_injected_for_training", "is_injected_positive", *FOLD_COLUMNS}
+FORBIDDEN = {"label", "positive_injected_for_training", "is_injected_positive", "member_partition", *FOLD_COLUMNS}
 FORBIDDEN_PREFIX = re.compile("^(truth|gold|target|ground_truth)_")
 ROUTES = ("neural_fusion", "tree_only", "discard")
 PAIR_TEXT = [*PAIR_KEY, "source1_fold", "candidate_fold", "name_a", "address_a", "country_a", "name_b", "address_b", "country_b"]
@@ -41,6 +41,17 @@ def require_none(found: DataFrame, what: str) -> None:
         raise ContractError(f"{what}: {[r.asDict() for r in rows]}")
 
 
+def require_all(found: dict[str, DataFrame]) -> None:
+    """As :func:`require_none` for several checks in one job."""
+    every = None
+    for what, df in found.items():
+        part = df.select(F.lit(what).alias("what"), F.to_json(F.struct(*df.columns)).alias("row")).limit(5)
+        every = part if every is None else every.union(part)
+    rows = every.collect() if every is not None else []
+    if rows:
+        raise ContractError("; ".join(f"{r['what']}: {r['row']}" for r in rows[:5]))
+
+
 def _filled(name: str) -> Column:
     return F.col(name).isNotNull() & (F.trim(F.col(name)) != "")
 
