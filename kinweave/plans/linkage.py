@@ -35,26 +35,29 @@ def run(spark: SparkSession, train: dict[str, str], test: dict[str, str], out: s
 
     ``train`` and ``test`` name the files of s1, s2, s3 (may be absent) and, for
     training, truth. Every stage is a table with a manifest in ``out``; a run
-    that was cut off goes on from the last complete one.
+    that was cut off goes on from the last complete one, and stages whose files
+    or earlier stages have changed are made again.
     """
     settings = {"folds": config.folds, "seed": config.seed, "k": [config.top_k_name, config.top_k_address], "model": config.model.__dict__}
 
-    def stage(name: str, make, **more):
-        return manifests.stage(spark, out, name, settings | more, make)
+    own, other = (manifests.table_identity(spark, *filter(None, x.values())) for x in (train, test))
+
+    def stage(name: str, make, inputs: dict, *after: str):
+        return manifests.stage(spark, out, name, settings, make, inputs, after)
 
     s1, s2, s3 = tables.load_sources(spark, train["s1"], train["s2"], train.get("s3"))
     queries, truth = tables.load_truth(spark, train["truth"])
-    folds = stage("folds", lambda: splits.create_folds(s1, truth, s2.select("entity_id").union(s3.select("entity_id")), config.folds, config.seed))
+    folds = stage("folds", lambda: splits.create_folds(s1, truth, s2.select("entity_id").union(s3.select("entity_id")), config.folds, config.seed), own)
     require_none(splits.cross_fold_edges(folds, truth), "truth edges across folds")
-    pairs = stage("train_candidates", lambda: candidate_stage(s1, s2, s3, config))
-    features = stage("train_features", lambda: sampling.add_folds(sampling.add_labels(feature_stage(pairs, s1, s2, s3), truth), folds))
+    pairs = stage("train_candidates", lambda: candidate_stage(s1, s2, s3, config), own)
+    features = stage("train_features", lambda: sampling.add_folds(sampling.add_labels(feature_stage(pairs, s1, s2, s3), truth), folds), own, "folds", "train_candidates")
     names = feature_columns(features)
-    scores = stage("oof_scores", lambda: models.out_of_fold(features, names, config.model).select("source1_entity_id", "candidate_source", "candidate_entity_id", "label", "score"))
+    scores = stage("oof_scores", lambda: models.out_of_fold(features, names, config.model).select("source1_entity_id", "candidate_source", "candidate_entity_id", "label", "score"), own, "train_features")
     threshold, macro = decode.search_threshold(queries, truth, scores)
     final = models.fit_pair_model(sampling.hard_rows(features, config.model.negatives_per_s1), names, config.model)
     t1, t2, t3 = tables.load_sources(spark, test["s1"], test["s2"], test.get("s3"))
-    test_pairs = stage("test_candidates", lambda: candidate_stage(t1, t2, t3, config))
-    predicted = stage("test_scores", lambda: models.predict_pairs(final, feature_stage(test_pairs, t1, t2, t3), names), threshold=threshold)
+    test_pairs = stage("test_candidates", lambda: candidate_stage(t1, t2, t3, config), other)
+    predicted = stage("test_scores", lambda: models.predict_pairs(final, feature_stage(test_pairs, t1, t2, t3), names), other | {"threshold": str(threshold)}, "train_features", "test_candidates")
     order = tables.load_query_order(spark, test["s1"])
     chosen = predicted.where(F.col("score") >= threshold)
     lists, candidates = assembly.ordered_lists(order, chosen), assembly.ordered_lists(order, test_pairs)

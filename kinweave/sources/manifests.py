@@ -8,6 +8,7 @@ import os
 import random
 import subprocess
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -15,7 +16,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.operators.contracts import ContractError
-from kinweave.sources.tables import write_json
+from kinweave.sources.tables import exists, file_system, read_text, write_json
 
 
 def canonical_json(value: object) -> str:
@@ -69,14 +70,17 @@ class Manifest:
     metadata: dict = field(default_factory=dict)
     completion_state: str = "incomplete"
 
-    def write(self, path: str) -> None:
+    def write(self, path: str, spark: SparkSession | None = None) -> None:
         body = self.__dict__ | {"config_hash": config_hash(self.config), "written": int(time.time())}
-        write_json(body, path)
+        write_json(body, path, spark)
 
 
-def read_manifest(path: str, complete: bool = True) -> dict:
-    """A manifest; the older key ``completion`` is read as ``completion_state``."""
-    body = json.loads(Path(path).read_text(encoding="utf-8"))
+def read_manifest(path: str, complete: bool = True, spark: SparkSession | None = None) -> dict:
+    """A manifest; the older key ``completion`` is read as ``completion_state``.
+
+    With a session the path may lie in any store that Spark reads.
+    """
+    body = json.loads(read_text(spark, path) if spark else Path(path).read_text(encoding="utf-8"))
     body.setdefault("completion_state", body.pop("completion", "incomplete"))
     if complete and body["completion_state"] != "complete":
         raise ContractError(f"{path} isn't complete")
@@ -103,23 +107,41 @@ def same_identity(manifests: list[dict], keys: list[str]) -> None:
             raise ContractError(f"manifests differ in {key}")
 
 
-def stage(spark: SparkSession, folder: str, name: str, config: dict, make: Callable[[], DataFrame]) -> DataFrame:
-    """A stage's table: read if a complete one of the same configuration is there, else made and written.
+def table_identity(spark: SparkSession, *paths: str) -> dict:
+    """Files of the given paths with size and time of change, as a hash for each path; in any store that Spark reads."""
+    out = {}
+    for path in paths:
+        fs, root = file_system(spark, path)
+        found, files = [], fs.listFiles(root, True)
+        while files.hasNext():
+            f = files.next()
+            found.append([f.getPath().toString(), f.getLen(), f.getModificationTime()])
+        out[path] = config_hash(sorted(found))
+    return out
+
+
+def stage(spark: SparkSession, folder: str, name: str, config: dict, make: Callable[[], DataFrame], inputs: dict | None = None, after: tuple[str, ...] = ()) -> DataFrame:
+    """A stage's table: read if a complete one of the same configuration and inputs is there, else made and written.
 
-    The manifest is written last, so a run that was cut off is made again; one
-    of another configuration is refused.
+    ``inputs`` says what the stage reads (see :func:`table_identity`), ``after``
+    names the stages of the folder that it reads. A stage is made again when an
+    input has changed or a stage before it was made again; one of another
+    configuration is refused. The manifest is written last, so a run that was
+    cut off is made again.
     """
-    path, manifest = os.path.join(folder, name), os.path.join(folder, f"{name}.manifest.json")
-    if os.path.exists(manifest):
-        body = read_manifest(manifest, complete=False)
+    path, manifest = f"{folder}/{name}", f"{folder}/{name}.manifest.json"
+    read = {"inputs": inputs or {}, "after": {x: read_manifest(f"{folder}/{x}.manifest.json", spark=spark)["metadata"]["made"] for x in after}}
+    if exists(spark, manifest):
+        body = read_manifest(manifest, complete=False, spark=spark)
         if body["config_hash"] != config_hash(config):
             raise ContractError(f"{path} was made with another configuration")
-        if body["completion_state"] == "complete":
+        if body["completion_state"] == "complete" and body["metadata"].get("read") == read:
             return spark.read.parquet(path)
-    Manifest(name, config=config).write(manifest)
+    metadata = {"read": read, "made": uuid.uuid4().hex}
+    Manifest(name, config=config, metadata=metadata).write(manifest, spark)
     make().write.mode("overwrite").parquet(path)
     out = spark.read.parquet(path)
-    Manifest(name, config=config, rows=out.count(), completion_state="complete").write(manifest)
+    Manifest(name, config=config, rows=out.count(), metadata=metadata, completion_state="complete").write(manifest, spark)
     return out
 
 

@@ -6,6 +6,7 @@ after a scratch table can be run again from it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,11 +18,14 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Where the setting is absent (a single-machine test session) a temporary
-    folder is created once and kept in the session's settings.
+    Where the setting is absent, a session of a single machine gets a temporary
+    folder, created once and kept in its settings; on a cluster that's an error,
+    since executors would write to their own disks.
     """
     found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kinweave-")
         spark.conf.set(CHECKPOINT_KEY, found)
     return found.rstrip("/")

@@ -6,6 +6,7 @@ import json
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -110,21 +111,20 @@ def load_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_query_order(spark: SparkSession, path: str) -> DataFrame:
-    """``position, source1_entity_id`` in the order of a file's lines.
+    """``position, source1_entity_id`` in the order of the lines; several files come in the order of their names.
 
-    Positions come from byte order: files are read in name order, and a line's
-    number within its partition follows the partitions before it. Only the
-    number of lines of each partition reaches the driver.
+    A split of a file has its name and first byte, and the lines of a split are
+    numbered in order, whichever partition it's in. Only the number of lines of
+    each split reaches the driver.
     """
-    lines = read_tsv(spark, path, ["entity_id"]).select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("line"), F.trim("entity_id").alias("source1_entity_id"))
-    sizes = lines.groupBy("part").count().orderBy("part").collect()
-    starts, at = [], 0
+    lines = read_tsv(spark, path, ["entity_id"]).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("at"), F.monotonically_increasing_id().alias("line"), F.trim("entity_id").alias("source1_entity_id"))
+    sizes = lines.groupBy("file", "at").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first")).orderBy("file", "at").collect()
+    starts, before = [], 0
     for row in sizes:
-        starts.append((row["part"], at))
-        at += row["count"]
-    base = spark.createDataFrame(starts, "part int, base long")
-    place = F.col("base") + F.col("line") - F.shiftleft(F.col("part").cast("long"), 33)
-    return lines.join(F.broadcast(base), "part").select(place.alias("position"), "source1_entity_id")
+        starts.append((row["file"], row["at"], before - row["first"]))
+        before += row["n"]
+    base = spark.createDataFrame(starts, "file string, at long, base long")
+    return lines.join(F.broadcast(base), ["file", "at"]).select((F.col("base") + F.col("line")).alias("position"), "source1_entity_id")
 
 
 def write_single(df: DataFrame, path: str, order: str, overwrite: bool = False, header: bool = True) -> None:
@@ -182,14 +182,46 @@ def whole_groups(df: DataFrame, key: list[str]) -> DataFrame:
     return df.repartition(*key).sortWithinPartitions(*key)
 
 
-def write_json(value: object, path: str) -> None:
-    """JSON through a temporary file in the same folder."""
+def file_system(spark: SparkSession, path: str):
+    """The store of a path, and the path in it; a path without a scheme lies where Spark looks for it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # local files without checksum files beside them, which an editor wouldn't keep up
+    return (fs.getRawFileSystem() if fs.getUri().getScheme() == "file" else fs), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = file_system(spark, path)
+    return fs.exists(where)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, where = file_system(spark, path)
+    stream = fs.open(where)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_json(value: object, path: str, spark: SparkSession | None = None) -> None:
+    """JSON through a temporary file in the same folder; with a session in any store that Spark writes."""
+    body = json.dumps(value, indent=2, sort_keys=True) + "\n"
+    if spark:
+        fs, where = file_system(spark, path)
+        temporary = where.suffix(f".{uuid.uuid4().hex}")
+        stream = fs.create(temporary, True)
+        stream.write(bytearray(body.encode()))
+        stream.close()
+        fs.delete(where, False)
+        if not fs.rename(temporary, where):
+            raise OSError(f"can't write {path}")
+        return
     folder = os.path.dirname(os.path.abspath(path))
     os.makedirs(folder, exist_ok=True)
     fd, temporary = tempfile.mkstemp(dir=folder)
     with os.fdopen(fd, "w", encoding="utf-8") as out:
-        json.dump(value, out, indent=2, sort_keys=True)
-        out.write("\n")
+        out.write(body)
         out.flush()
         os.fsync(out.fileno())
     os.replace(temporary, path)

@@ -323,6 +323,32 @@ def test_files(spark, tmp_path):
     assert tables.split_groups(spark.read.parquet(str(tmp_path / "parts")), ["source1_entity_id"]).count() == 0
 
 
+def test_query_order_follows_names_and_lines(spark, tmp_path):
+    """Spark packs splits by size; positions go by file name and line all the same."""
+    (tmp_path / "a.tsv").write_text("entity_id\n" + "".join(f"S1-a{i}\n" for i in range(3)))
+    (tmp_path / "b.tsv").write_text("entity_id\n" + "".join(f"S1-b{i}\n" for i in range(5000)))
+    (tmp_path / "c.tsv").write_text("entity_id\n" + "".join(f"S1-c{i}\n" for i in range(40)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        got = tables.load_query_order(spark, str(tmp_path)).orderBy("position").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["position"] for r in got] == list(range(5043))
+    assert [r["source1_entity_id"] for r in got] == [*(f"S1-a{i}" for i in range(3)), *(f"S1-b{i}" for i in range(5000)), *(f"S1-c{i}" for i in range(40))]
+
+
+def test_saved_index_is_built_once(spark, tmp_path):
+    source = spark.createDataFrame([(f"S2-{i}", f"common name {i % 7}", "x") for i in range(40)], "entity_id string, business_name string, norm_business_name string").drop("norm_business_name")
+    config = retrieval.IndexConfig()
+    first = retrieval.saved_index(source, config, str(tmp_path), "s2-name", {"s2": "one"})
+    assert sorted((r["key"], r["gram"], round(r["weight"], 9)) for r in first.collect()) == sorted((r["key"], r["gram"], round(r["weight"], 9)) for r in retrieval.build_index(source, config).collect())
+    made = json.loads((tmp_path / "s2-name.manifest.json").read_text())["metadata"]["made"]
+    retrieval.saved_index(source, config, str(tmp_path), "s2-name", {"s2": "one"})
+    assert json.loads((tmp_path / "s2-name.manifest.json").read_text())["metadata"]["made"] == made
+    retrieval.saved_index(source, config, str(tmp_path), "s2-name", {"s2": "two"})
+    assert json.loads((tmp_path / "s2-name.manifest.json").read_text())["metadata"]["made"] != made
+
+
 def test_stages_resume(spark, tmp_path):
     made = []
 
@@ -340,6 +366,18 @@ def test_stages_resume(spark, tmp_path):
     assert manifests.stage(spark, str(tmp_path), "a", {"k": 1}, make).count() == 5 and len(made) == 2
     assert manifests.recover(str(tmp_path)) == [{"name": "a", "state": "complete"}]
     (tmp_path / "old.json").write_text('{"completion": "complete"}')
+    source = tmp_path / "source.tsv"
+    source.write_text("entity_id\nS1-1\n")
+
+    def run():
+        seen = manifests.table_identity(spark, str(source))
+        manifests.stage(spark, str(tmp_path), "up", {}, make, seen)
+        manifests.stage(spark, str(tmp_path), "down", {}, make, {}, ("up",))
+        return len(made)
+
+    assert run() == 4 and run() == 4
+    source.write_text("entity_id\nS1-1\nS1-2\n")
+    assert run() == 6 and run() == 6, "a changed input makes its stage and those after it again"
     assert manifests.read_manifest(str(tmp_path / "old.json"))["completion_state"] == "complete"
     assert manifests.features_hash(["a", "b"]) != manifests.legacy_features_hash(["a", "b"])
 
