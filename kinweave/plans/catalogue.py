@@ -186,11 +186,12 @@ def exact_join(spark, d):
 
 @query("exact_join_ranked", _with(V.RECORDS, f"""
 , k AS (SELECT *, {V.norm_sql('business_name')} AS key FROM rec),
-o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY entity_id) AS rank, CAST(count(*) OVER (PARTITION BY key) > 100 AS BIGINT) AS frequent_key_expansion FROM k WHERE candidate_source = 'S2')
-SELECT a.entity_id AS source1_entity_id, o.entity_id AS candidate_entity_id, rank, frequent_key_expansion, 'exact' AS retrieval_provenance FROM k a JOIN o USING (key) WHERE a.candidate_source = 'S1'"""))
+o AS (SELECT *, row_number() OVER (PARTITION BY candidate_source, key ORDER BY entity_id) AS rank, CAST(count(*) OVER (PARTITION BY candidate_source, key) > 100 AS BIGINT) AS frequent_key_expansion FROM k WHERE candidate_source <> 'S1')
+SELECT a.entity_id AS source1_entity_id, o.entity_id AS candidate_entity_id, o.candidate_source, rank, frequent_key_expansion, 'exact' AS retrieval_provenance FROM k a JOIN o USING (key) WHERE a.candidate_source = 'S1'"""))
 def exact_join_ranked(spark, d):
-    found = retrieval.exact_matches(V.source(spark, d, "S1"), V.source(spark, d, "S2"), "business_name", "S2", ranked=True)
-    return found.select("source1_entity_id", "candidate_entity_id", "rank", "frequent_key_expansion", "retrieval_provenance")
+    s1 = V.source(spark, d, "S1")
+    both = [retrieval.exact_matches(s1, V.source(spark, d, s), "business_name", s, ranked=True) for s in ("S2", "S3")]
+    return both[0].union(both[1]).select("source1_entity_id", "candidate_entity_id", "candidate_source", "rank", "frequent_key_expansion", "retrieval_provenance")
 
 
 def _tfidf(spark, d, field):
@@ -440,10 +441,14 @@ def contract_violations(spark, d):
 
 
 @query("candidate_id_violations", _with(V.CANDIDATES, """
-SELECT source1_entity_id, candidate_entity_id, 'unknown candidate' AS rule FROM cand WHERE candidate_source = 'S3'
-UNION ALL SELECT source1_entity_id, candidate_entity_id, 'not in the stated source' FROM cand WHERE candidate_source = 'S3'"""))
+SELECT source1_entity_id, candidate_entity_id, 'not in the stated source' AS rule FROM cand
+UNION ALL SELECT source1_entity_id, candidate_entity_id || 'x', unnest(['unknown candidate', 'not in the stated source']) FROM cand"""))
 def candidate_id_violations(spark, d):
-    return contracts.candidate_id_violations(V.candidates(spark, d), V.source(spark, d, "S1"), V.source(spark, d, "S2"), V.source(spark, d, "S3").where(F.lit(False)))
+    """All pairs as they are, again with the other source stated, and again with an id that no source has."""
+    pairs = V.candidates(spark, d).select(*ids.PAIR_KEY)
+    other = pairs.withColumn("candidate_source", F.when(F.col("candidate_source") == "S2", "S3").otherwise("S2"))
+    unknown = pairs.withColumn("candidate_entity_id", F.concat("candidate_entity_id", F.lit("x")))
+    return contracts.candidate_id_violations(pairs.union(other).union(unknown), *(V.source(spark, d, s) for s in ("S1", "S2", "S3")))
 
 
 @query("resolve_sources", _with(V.RECORDS, "SELECT entity_id, candidate_source FROM others"))
@@ -722,12 +727,15 @@ def id_profile(spark, d):
     return profile.id_profile(V.table(spark, d, "orders"), "o_custkey")
 
 
-@query("truth_profile", _with(V.RECORDS, """
-SELECT CAST(0 AS BIGINT) AS orphan_s2_refs, (SELECT count(DISTINCT candidate_entity_id) FROM truth WHERE candidate_entity_id LIKE 'S3-%') AS orphan_s3_refs, CAST(0 AS BIGINT) AS invalid_prefix_refs,
+@query("truth_profile", _with(V.RECORDS, """, refs AS (SELECT candidate_entity_id AS entity_id FROM truth UNION SELECT candidate_entity_id || 'x' FROM truth),
+lost AS (SELECT entity_id FROM refs ANTI JOIN rec USING (entity_id))
+SELECT (SELECT count(*) FROM lost WHERE entity_id LIKE 'S2-%') AS orphan_s2_refs, (SELECT count(*) FROM lost WHERE entity_id LIKE 'S3-%') AS orphan_s3_refs, CAST(0 AS BIGINT) AS invalid_prefix_refs,
        CAST(0 AS BIGINT) AS s1_missing_from_truth, CAST(0 AS BIGINT) AS s1_not_in_source"""))
 def truth_profile(spark, d):
-    s3 = V.source(spark, d, "S3").where(F.lit(False))
-    return profile.truth_profile(V.queries(spark, d).select("source1_entity_id"), V.truth(spark, d), V.source(spark, d, "S1"), V.source(spark, d, "S2"), s3)
+    """The truth, and each of its pairs again with an id that no source has."""
+    truth = V.truth(spark, d).select("source1_entity_id", "candidate_entity_id")
+    more = truth.withColumn("candidate_entity_id", F.concat("candidate_entity_id", F.lit("x")))
+    return profile.truth_profile(V.queries(spark, d).select("source1_entity_id"), truth.union(more), *(V.source(spark, d, s) for s in ("S1", "S2", "S3")))
 
 
 @query("cardinality_histogram", _with(V.RECORDS, """
