@@ -231,6 +231,13 @@ def union_channels(spark, d):
     return out.select(*ids.PAIR_KEY, "name_tfidf_score", "name_rank", "retrieved_by_exact", "retrieval_score", "retrieval_provenance")
 
 
+@query("generate_candidates")
+def generate_candidates(spark, d):
+    """All eight channels at their default k."""
+    sources = {s: V.source(spark, d, s) for s in ("S2", "S3")}
+    return retrieval.generate_candidates(V.source(spark, d, "S1"), sources)
+
+
 @query("prune_budget", _with(V.CANDIDATES, """
 , p AS (SELECT *, sum(retrieved_by_exact) OVER (PARTITION BY source1_entity_id) AS e,
         row_number() OVER (PARTITION BY source1_entity_id, retrieved_by_exact ORDER BY retrieval_score DESC, candidate_source, candidate_entity_id) AS place FROM cand)

@@ -1,4 +1,7 @@
 import json
+import math
+import random
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,6 +28,56 @@ def pairs_of(df):
     return sorted((r["source1_entity_id"], r["candidate_entity_id"]) for r in df.collect())
 
 
+
+def brute_channel(s1, source, at, k):
+    """Top k of each S1 by the cosine of character 2-4 grams found in two rows: (s1, candidate): (score, rank)."""
+    def grams(t):
+        return [t[i : i + n] for n in (2, 3, 4) for i in range(len(t) - n + 1)]
+
+    df = Counter(g for r in source for g in set(grams(r[at] or "")))
+    idf = {g: math.log((1 + len(source)) / (1 + n)) + 1 for g, n in df.items() if n >= 2}
+
+    def vector(t):
+        v = {g: n * idf[g] for g, n in Counter(grams(t or "")).items() if g in idf}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {g: x / size for g, x in v.items()}
+
+    known, out = [(r[0], vector(r[at])) for r in source], {}
+    for r in s1:
+        own = vector(r[at])
+        found = sorted((-round(sum(x * v.get(g, 0.0) for g, x in own.items()), 9), c) for c, v in known)
+        out |= {(r[0], c): (-score, place) for place, (score, c) in enumerate(found[:k], 1) if score < 0}
+    return out
+
+
+def test_all_channels_against_brute_force(spark):
+    rng = random.Random(4)
+    names, streets = ["acme", "acne", "beta", "better", "gamma", "gamut", "shop", "shops"], ["hill", "hall", "road", "broad", "lane", "lake"]
+
+    def records(source, n):
+        out = [(f"{source}-{i:02}", " ".join(rng.choices(names, k=rng.randint(1, 3))), f"{rng.randint(10, 40)} {rng.choice(streets)}", "US") for i in range(n)]
+        return [*out, (f"{source}-97", None, None, None), (f"{source}-98", "", "", ""), (f"{source}-99", out[0][1], out[0][2], "US")]
+
+    s1, s2, s3 = records("S1", 12), records("S2", 25), records("S3", 20)
+    want = defaultdict(lambda: {"name": (0.0, 0), "address": (0.0, 0), "exact": 0})
+    for source in (s2, s3):
+        for at, kind in ((1, "name"), (2, "address")):
+            for pair, found in brute_channel(s1, source, at, 6).items():
+                want[pair][kind] = found
+            for a in s1:
+                for b in source:
+                    if a[at] and a[at] == b[at]:
+                        want[a[0], b[0]]["exact"] = 1
+    frames = [spark.createDataFrame(r, SOURCE) for r in (s1, s2, s3)]
+    got = retrieval.generate_candidates(frames[0], {"S2": frames[1], "S3": frames[2]}, 6, 6).collect()
+    assert len(got) == len(want) > 150
+    for r in got:
+        w = want[r["source1_entity_id"], r["candidate_entity_id"]]
+        # the scores of the two engines may differ in the 9th digit
+        assert (r["name_rank"], r["address_rank"], r["retrieved_by_exact"]) == (w["name"][1], w["address"][1], w["exact"]), r
+        assert r["name_tfidf_score"] == pytest.approx(w["name"][0], abs=2e-9) and r["address_tfidf_score"] == pytest.approx(w["address"][0], abs=2e-9)
+
+
 def test_exact_and_tfidf(sources):
     s1, s2, s3 = sources
     assert pairs_of(retrieval.exact_matches(s1, s2, "business_name", "S2")) == [("S1-1", "S2-1"), ("S1-1", "S2-4")]
