@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
-from kinweave.operators.metrics import PAIR, f05
+from kinweave.operators.metrics import PAIR, f05, with_copies
 
 THRESHOLDS = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.87, 0.9, 0.95)
 #: Larger groups are decoded by the plain threshold.
@@ -55,13 +56,25 @@ def ranked_lists(pairs: DataFrame, threshold: float, score: str) -> DataFrame:
 
 
 def match_count_distribution(probabilities: Column) -> Column:
-    """Distribution of the number of matches under independence, as an array from 0 up."""
-    zero = F.array(F.lit(0.0))
+    """Distribution of the number of matches under independence, as an array from 0 up.
 
-    def fold(d: Column, p: Column) -> Column:
-        return F.zip_with(F.concat(d, zero), F.concat(zero, d), lambda a, b: a * (1 - p) + b * p)
+    Halves are convolved, so that n candidates take few steps over arrays
+    instead of n. Null gives null, as does an array with one.
+    """
+    return _match_counts(probabilities)
+
+
+def _halves(p: np.ndarray) -> np.ndarray:
+    """Distributions of blocks are convolved two by two; all values are positive sums, so nothing cancels."""
+    parts = [np.array((1 - x, x)) for x in p]
+    while len(parts) > 1:
+        parts = [np.convolve(*parts[k : k + 2]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+    return parts[0] if parts else np.ones(1)
 
-    return F.aggregate(probabilities, F.array(F.lit(1.0)), fold)
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _match_counts(probabilities: pd.Series) -> pd.Series:
+    return probabilities.map(lambda p: None if p is None or any(x is None or x != x for x in p) else _halves(np.asarray(p, float)), na_action="ignore")
 
 
 def expected_f05(chosen: np.ndarray, rest: np.ndarray) -> float:
@@ -119,9 +132,12 @@ def by_expected_f05(pairs: DataFrame, fallback: float = 0.5, probability: str =
     return small.union(sized.where((F.col("n") > MAX_GROUP) & (F.col("p") >= fallback)).select(*PAIR))
 
 
-def threshold_scores(queries: DataFrame, truth: DataFrame, pairs: DataFrame, thresholds: list[float], probability: str) -> DataFrame:
+def threshold_scores(queries: DataFrame, truth: DataFrame, pairs: DataFrame, thresholds: list[float], probability: str, copies: DataFrame | None = None) -> DataFrame:
     """``threshold, macro_f05`` in one job: the pairs are summed by S1 and threshold.
 
+    ``copies`` (``source1_entity_id, copies``) says for how many S1s of equal
+    pairs and truth each query stands.
+
     A pair counts at every threshold that it reaches: pairs are first summed by
     the highest of them, and running sums over the thresholds do the rest, so no
     pair is repeated.
@@ -134,7 +150,8 @@ def threshold_scores(queries: DataFrame, truth: DataFrame, pairs: DataFrame, thr
     sums = by_level.groupBy("source1_entity_id").agg(*(F.count_if((F.col("level") > k) & F.col("hit")).alias(f"tp{k}") for k in range(len(grid))), *(F.count_if((F.col("level") > k) & ~F.col("hit")).alias(f"fp{k}") for k in range(len(grid))))
     gold = truth.select(*PAIR).distinct().groupBy("source1_entity_id").agg(F.count("*").alias("gold"))
     rows = queries.select("source1_entity_id").distinct().join(gold, "source1_entity_id", "left").join(sums, "source1_entity_id", "left").na.fill(0)
-    scores = rows.agg(*(F.avg(f05(F.col(f"tp{k}"), F.col(f"fp{k}"), F.col("gold") - F.col(f"tp{k}"))).alias(f"m{k}") for k in range(len(grid))))
+    each = F.lit(1) if copies is None else F.col("copies")
+    scores = with_copies(rows, copies).agg(*((F.sum(f05(F.col(f"tp{k}"), F.col(f"fp{k}"), F.col("gold") - F.col(f"tp{k}")) * each) / F.sum(each)).alias(f"m{k}") for k in range(len(grid))))
     return scores.select(F.explode(F.array(*(F.struct(F.lit(t).alias("threshold"), F.col(f"m{k}").alias("macro_f05")) for k, t in enumerate(grid)))).alias("x")).select("x.threshold", "x.macro_f05")
 
 
