@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import bytebpe, cuckoo, minhash, packing, pii, rules
+from kinweave.llm import bytebpe, cuckoo, minhash, packing, pii, rules, simhash
 from kinweave.llm.common import documents
 from kinweave.sources.deploy import ship
 from kinweave.sources.scratch import scratch_table
@@ -29,9 +29,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts at a 5-word Jaccard similarity of 0.8 or more the document with the smallest id."""
+    """Of each group of texts at a 5-word Jaccard similarity of 0.8 or more the document with the smallest id.
+
+    SimHash fingerprints of the same shingles give candidates by multi-index
+    hashing; every link is verified on the whole sets. Pairs beyond the radius of
+    the fingerprints are found by MinHash, see the README.
+    """
     ship(spark)
-    return minhash.drop_near_duplicates(docs)
+    return minhash.drop_near_duplicates(docs, simhash.links(docs.where("doc_id IS NOT NULL"), minhash.WIDTH))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

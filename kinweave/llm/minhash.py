@@ -240,9 +240,20 @@ def chain_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def _asked(more: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs of unlike sets behind pairs of doc_ids; empty texts have no set to compare."""
+    known = found.where(F.size("keys") > 0)
+    a, b = (known.select(F.col("doc_id").alias(end), F.col("fp").alias(f"_{end}")) for end in ("src", "dst"))
+    pairs = more.select("src", "dst").join(a, "src").join(b, "dst").where("_src <> _dst")
+    return pairs.select(F.least("_src", "_dst").alias("src"), F.greatest("_src", "_dst").alias("dst")).distinct()
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, more: DataFrame | None = None) -> DataFrame:
     """``doc_id, component_id`` for every row of ``docs`` that has a doc_id.
 
+    ``more`` has further candidates, ``src, dst`` as doc_ids (from another index);
+    they are verified in the same way and linked before MinHash compares the rest.
+
     component_id is the smallest doc_id reachable over links between texts whose
     sets have a Jaccard similarity of ``similarity`` or more. Texts with equal
     sets are one node, known by a hash of 64 bits; null text counts as empty,
@@ -255,11 +266,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     rows = scratch_table(nodes.select("fp", F.explode("keys").alias("key")), "minhash-keys")
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("first")).where("n > 1").drop("n")
     members = scratch_table(rows.join(shared, "key"), "minhash-members")
-    active = members.select("fp").distinct()
+    asked = found.sparkSession.createDataFrame([], "src long, dst long") if more is None else scratch_table(_asked(more, found), "minhash-asked")
+    active = members.select("fp").union(asked.select("src")).union(asked.select("dst")).distinct()
     wanted = found.join(active, "fp", "left_semi").select("doc_id").distinct()
     sets = _sets(source.join(wanted, "doc_id", "left_semi")).groupBy("fp").agg(F.first("own").alias("own"))
     sets = scratch_table(sets, "minhash-sets")
-    star = members.where("fp <> first").select(F.col("first").alias("src"), F.col("fp").alias("dst")).distinct()
+    star = members.where("fp <> first").select(F.col("first").alias("src"), F.col("fp").alias("dst")).union(asked).distinct()
     links = scratch_table(_verified(star, sets, similarity), "minhash-links")
     about = found.join(active, "fp", "left_semi").groupBy("fp").agg(F.first(F.struct("sketch", "keys")).alias("x")).select("fp", "x.*")
     about = scratch_table(about.join(sets.select("fp", (F.octet_length("own") / 8).cast("long").alias("size")), "fp"), "minhash-about")
@@ -282,12 +294,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     return nodes.join(nodes.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("doc_id", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """The row of each near-duplicate group with the smallest doc_id, with all its columns.
 
     Rows that share a doc_id stay or go together: they go if any of them is in a
     group with a smaller id. Rows without an id stay.
     """
     gone = fresh(docs, "_gone")
-    drop = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    drop = near_duplicates(docs, more=more).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
     return docs.join(drop, F.col("doc_id").cast("long") == F.col(gone), "left_anti").select(*docs.columns)

@@ -185,6 +185,25 @@ def _ball_links(crowded: DataFrame) -> DataFrame:
     return crowded.select("fp", "src").distinct().mapInArrow(lean(run), "near long, rep long").select(F.col("rep").alias("src"), low.alias("dst")).where("src <> dst")
 
 
+def _links(reps: DataFrame, bucket_limit: int) -> DataFrame:
+    """``src, dst``: a spanning forest of the links among the representatives of all fingerprints."""
+    matched = scratch_table(_match_keys(_table_rows(reps), RADIUS, bucket_limit), "simhash-links")
+    edges = matched.where("fp IS NULL").select("src", "dst")
+    crowded = matched.where("fp IS NOT NULL").select("fp", "src")
+    return edges if crowded.isEmpty() else edges.union(_ball_links(crowded))
+
+
+def links(docs: DataFrame, width: int, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """``src, dst``: doc_ids whose fingerprints differ in 4 or fewer bits, a spanning forest of all such pairs.
+
+    Of equal fingerprints every id is linked to the smallest.
+    """
+    found = scratch_table(fingerprints(docs, width), "simhash")
+    reps = scratch_table(found.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "simhash-reps")
+    same = found.join(reps, "fp").where("doc_id <> rep").select(F.col("rep").alias("src"), F.col("doc_id").alias("dst"))
+    return _links(reps, bucket_limit).union(same)
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs``.
 
@@ -200,12 +219,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, bucket_limit: int = BUCKET_
     """
     found = scratch_table(fingerprints(docs, width), "simhash")
     reps = scratch_table(found.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "simhash-reps")
-    matched = scratch_table(_match_keys(_table_rows(reps), RADIUS, bucket_limit), "simhash-links")
-    edges = matched.where("fp IS NULL").select("src", "dst")
-    crowded = matched.where("fp IS NOT NULL").select("fp", "src")
-    if not crowded.isEmpty():
-        edges = edges.union(_ball_links(crowded))
-    roots = connected_components(edges)
+    roots = connected_components(_links(reps, bucket_limit))
     label = reps.join(roots, reps.rep == roots.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return found.join(label, "fp", "left").select("doc_id", "fp", "component_id")
 

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from kinweave.llm import cuckoo, rules
+from kinweave.llm import cuckoo, rules, simhash
 
 from .conftest import prose, rows_of
 from .test_minhash import brute
@@ -60,3 +60,20 @@ def test_stages_on_an_empty_table(spark, tmp_path, empty):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
     assert cuckoo.digests(empty).count() == 0 and rules.measure(empty, ["doc_id"]).count() == 0
+
+
+def test_near_dedup_goes_through_simhash(spark, monkeypatch):
+    """Fingerprints at 4 or fewer bits give candidates, and only those that are similar are linked."""
+    rng = random.Random(5)
+    long = prose(rng, 400)
+    texts = [long, long + " tail", prose(rng, 60), "", "  ", None, "ab", "AB"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bits = [simhash.simhash64((t or "").encode(), 5) for t in texts]
+    near = {(i, j) for j in range(len(texts)) for i in range(j) if (bits[i] ^ bits[j]).bit_count() <= simhash.RADIUS}
+    found = {tuple(sorted(r)) for r in simhash.links(docs, 5).select("src", "dst").collect()}
+    assert {(0, 1), (6, 7)} <= found <= near
+
+    seen, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda docs, width: seen.append(width) or links(docs, width))
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3, 6] and seen == [5]
