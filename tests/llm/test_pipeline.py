@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 from kinweave.llm import cuckoo, rules, simhash
+from kinweave.operators import components
 
 from .conftest import prose, rows_of
 from .test_minhash import brute
@@ -77,3 +78,11 @@ def test_near_dedup_goes_through_simhash(spark, monkeypatch):
     monkeypatch.setattr(simhash, "links", lambda docs, width: seen.append(width) or links(docs, width))
     kept = corpus_pipeline.near_dedup(spark, docs, "")
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3, 6] and seen == [5]
+
+
+def test_near_dedup_of_few_links_runs_no_rounds(spark, docs, monkeypatch):
+    def rounds(edges):
+        raise AssertionError("a small graph went through the rounds")
+
+    monkeypatch.setattr(components, "_large_star", rounds)
+    assert corpus_pipeline.near_dedup(spark, docs, "").count() < docs.count()
