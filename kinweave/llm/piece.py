@@ -129,7 +129,11 @@ class PieceBpe:
             raise ValueError("pieces that hold white space after another character can't be cut apart")
         score = {i: model.pieces[i].score for i in pieces.values()}
         order = {s: r for r, s in enumerate(sorted(set(score.values()), reverse=True))}
-        self.chars = {p: i for p, i in pieces.items() if len(p) == 1}
+        #: The symbol of each code point; -1 - c for an unknown character c.
+        self.chars = -1 - np.arange(0x110000, dtype=np.int64)
+        for p, i in pieces.items():
+            if len(p) == 1:
+                self.chars[ord(p)] = i
         self.bytes = [next(i for i, p in enumerate(model.pieces) if p.type == 6 and int(p.piece[3:5], 16) == b) for b in range(256)]
         pairs = sorted((pieces[p[:k]] << 32 | pieces[p[k:]], order[score[i]], i) for p, i in pieces.items() for k in range(1, len(p)) if p[:k] in pieces and p[k:] in pieces)
         self.keys = np.array([k for k, _, _ in pairs], np.int64)
@@ -140,6 +144,7 @@ class PieceBpe:
         #: UTF-8 bytes of each piece, and bytes of source text when only spaces were changed.
         self.size = np.array([1 if p.type == 6 else len(p.piece.encode()) for p in model.pieces], np.int64)
         self.source_size = self.size - np.array([2 * p.piece.count(WS) for p in model.pieces], np.int64)
+        self.decimal = [b"%d" % i for i in range(total)]
         self.dtype = np.dtype("<u2" if total <= 1 << 16 else "<u4")
         #: Values of parts in two generations: a part that's met again moves to the younger one.
         self.cache: dict[str, object] = {}
@@ -154,8 +159,7 @@ class PieceBpe:
     def merge(self, texts: list[str]) -> list[np.ndarray]:
         """The symbols that survive in each sequence; -1 - c for an unknown character c."""
         size = np.fromiter(map(len, texts), np.int64, len(texts))
-        code = self.chars
-        sym = np.array([code.get(c, -1 - ord(c)) for t in texts for c in t], np.int64)
+        sym = self.chars[np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")]
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
         begin = np.cumsum(size) - size
         who = np.flatnonzero(size)
@@ -235,25 +239,38 @@ class PieceBpe:
             return symbols
         return np.array([i for s in symbols.tolist() for i in ([s] if s >= 0 else [self.bytes[b] for b in chr(-1 - s).encode()])], np.int64)
 
-    def count(self, symbols: np.ndarray) -> int:
-        unknown = -1 - symbols[symbols < 0]
-        return len(symbols) + int((unknown >= 0x80).sum() + (unknown >= 0x800).sum() + (unknown >= 0x10000).sum())
+    def packed(self, symbols: list[np.ndarray]) -> list[bytes]:
+        """The ids of each sequence, as bytes of ``dtype``."""
+        flat, end = _joined(symbols)
+        if len(odd := np.flatnonzero(flat < 0)):
+            symbols = list(symbols)
+            for i in np.unique(np.searchsorted(end, odd, "right")).tolist():
+                symbols[i] = self.with_bytes(symbols[i])
+            flat, end = _joined(symbols)
+        raw = flat.astype(self.dtype).tobytes()
+        cut = [0, *(end * self.dtype.itemsize).tolist()]
+        return [raw[a:b] for a, b in zip(cut, cut[1:])]
+
+    def counts(self, symbols: list[np.ndarray]) -> list[int]:
+        """The number of ids of each sequence."""
+        flat, end = _joined(symbols)
+        n = np.diff(end, prepend=0)
+        if len(odd := np.flatnonzero(flat < 0)):
+            unknown = -1 - flat[odd]
+            more = (unknown >= 0x80).astype(np.int64) + (unknown >= 0x800) + (unknown >= 0x10000)
+            np.add.at(n, np.searchsorted(end, odd, "right"), more)
+        return n.tolist()
 
     @staticmethod
     def parts(normalised: str) -> list[str]:
         """Runs that no merge crosses: each white-space run with what follows it."""
-        if WS + WS in normalised or not normalised.startswith(WS):
+        if WS + WS in normalised or " " in normalised or not normalised.startswith(WS):
             return _RUN.findall(normalised)
-        return normalised[1:].split(WS)  # each without the symbol before it
-
-    def look_up(self, normalised: list[str], value) -> list[list]:
-        """For each text the values of its parts; ``value`` makes one from symbols."""
-        cut, marked = [], []
-        for t in normalised:
-            own = self.parts(t) if t else []
-            cut.append(own)
-            marked.append(bool(t) and not (WS + WS in t or not t.startswith(WS)))
-        cut = [[WS + p for p in own] if m else own for own, m in zip(cut, marked)]
+        return normalised.replace(WS, " " + WS)[1:].split(" ")
+
+    def look_up(self, normalised: list[str], values) -> list[list]:
+        """For each text the values of its parts; ``values`` makes them from sequences of symbols."""
+        cut = [self.parts(t) if t else [] for t in normalised]
         get = self.cache.get
         got = [list(map(get, own)) for own in cut]
         new = {p for own, g in zip(cut, got) if None in g for p, x in zip(own, g) if x is None}
@@ -262,7 +279,7 @@ class PieceBpe:
             new = list(new.difference(fresh))
             for at in range(0, len(new), 50_000):
                 part = new[at : at + 50_000]
-                fresh.update(zip(part, map(value, self.merge(part))))
+                fresh.update(zip(part, values(self.merge(part))))
             if len(self.cache) + len(fresh) > CACHE // 2:
                 self.older, self.cache = self.cache, {}
             self.cache.update(fresh)
@@ -270,6 +287,11 @@ class PieceBpe:
         return got
 
 
+def _joined(symbols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All sequences end to end, and where each ends."""
+    return np.concatenate([np.zeros(0, np.int64), *symbols]), np.cumsum(np.fromiter(map(len, symbols), np.int64, len(symbols)))
+
+
 def piece_bpe(path: str, use: str) -> PieceBpe:
     """The worker's encoder for a model file; ``use`` keeps caches of unlike values apart."""
     if (key := f"{use}:{path}") not in _KNOWN:

@@ -41,20 +41,15 @@ def encode_texts(model: PieceBpe, texts: list[bytes]) -> Iterator[tuple[np.ndarr
     normaliser put in front has an empty span, or starts where its word does. A
     byte piece covers its own byte.
     """
-
-    def value(symbols: np.ndarray):
-        ids = model.with_bytes(symbols)
-        return ids.astype(model.dtype).tobytes(), b"".join(b"%d," % i for i in ids.tolist())
-
     normal, aligned = _normal(model, texts)
-    for got, align in zip(model.look_up(normal, value), aligned):
-        ids = np.frombuffer(b"".join([x[0] for x in got]), model.dtype)
+    for got, align in zip(model.look_up(normal, model.packed), aligned):
+        ids = np.frombuffer(b"".join(got), model.dtype)
         if align is None:
             end = np.cumsum(model.source_size[ids]) - 1
         else:
             end = np.array(align, np.int64)[np.cumsum(model.size[ids])]
         begin = np.concatenate([np.zeros(min(1, len(end)), np.int64), end[:-1]])
-        yield ids, np.stack([begin, end], 1), b"".join([x[1] for x in got])[:-1]
+        yield ids, np.stack([begin, end], 1), b",".join(map(model.decimal.__getitem__, ids.tolist()))
 
 
 def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
@@ -104,7 +99,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
             for at in range(0, big.num_rows, GROUP):
                 batch = big.slice(at, GROUP)
                 texts = text_bytes(batch)
-                n = [sum(x) for x in model.look_up(_normal(model, texts)[0], model.count)]
+                n = [sum(x) for x in model.look_up(_normal(model, texts)[0], model.counts)]
                 yield record(schema, batch.column("doc_id"), [len(t) for t in texts], n, [x > limit for x in n])
 
     return id_text(docs).mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

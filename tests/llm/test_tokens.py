@@ -194,6 +194,20 @@ def test_encoding_with_a_compiled_map(spark, docs, tmp_path):
     assert {r["doc_id"]: r["n_tokens"] for r in pieces.token_counts(rows, str(path)).collect()} == {i: len(library.encode(t)) for i, t in enumerate(texts)}
 
 
+def test_values_of_many_parts_at_once(monkeypatch):
+    """Ids and counts of all new parts come from one call, unknown characters as bytes."""
+    model, library = piece.PieceBpe(PIECE), sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    words = ["the", "\U00013000", "a\U00013000\u0600b", "\x00", "house", "\u07ff\uffff", "日本語"]
+    symbols = model.merge(["▁" + w for w in words])
+    assert [np.frombuffer(x, model.dtype).tolist() for x in model.packed(symbols)] == [library.encode(w) for w in words]
+    assert model.counts(symbols) == [len(library.encode(w)) for w in words]
+    assert model.packed([]) == [] and model.counts([]) == []
+    calls = []
+    monkeypatch.setattr(model, "packed", lambda s, packed=model.packed: calls.append(len(s)) or packed(s))
+    list(pieces.encode_texts(model, [" ".join(words).encode(), b"the other house"]))
+    assert calls == [len(words) + 1]
+
+
 def test_caches_change_nothing(monkeypatch):
     monkeypatch.setattr(piece, "CACHE", 40)
     model, library = piece.PieceBpe(PIECE), sentencepiece.SentencePieceProcessor(model_file=PIECE)
