@@ -30,6 +30,21 @@ def test_byte_bpe_is_the_library():
         assert np.frombuffer(own.ids(text), own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("size", [3, 1 << 18])
+def test_latin_texts_go_whole_to_tiktoken(monkeypatch, size):
+    """Latin texts in slices give the library's ids and leave nothing in the caches."""
+    monkeypatch.setattr(bytebpe, "SLICE", size)
+    own, library = bytebpe.ByteBpe(BYTE), Tokenizer.from_file(BYTE)
+    rng = random.Random(8)
+    signs = [chr(c) for c in range(0x250)] + list("  \n\t \x85\xa0'stm") * 12
+    texts = ["".join(rng.choices(signs, k=rng.randint(1, 200))) for _ in range(600)] + ["a" * 900 + " b", " " * 700, "x  y \n z"]
+    for text in texts:
+        assert "".join(bytebpe._slices(text)) == text
+        assert np.frombuffer(own.ids(text), own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, ascii(text)
+    assert not own.plain and not own.spaced
+    assert size > 3 or len(list(bytebpe._slices("aa bb cc  dd"))) == 3
+
+
 def test_image_round_trip():
     rng = np.random.default_rng(4)
     for n in (0, 1, 1023, 1024, 1025, 9000):
